@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import fingerprint, line_dedup, mixing, quality, token_count, transducer
+from tandem.llm import fingerprint, line_dedup, mixing, quality, token_count, toxicity, transducer
 
 #: The vocabulary file of the production queries; operators take it as a parameter.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_documents(_read(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sentencepiece, op5_line_dedup, op6_quality_rules, op8_mixing, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_quality_rules, op8_mixing, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
