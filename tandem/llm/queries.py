@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import fingerprint, line_dedup, mixing, quality, token_count, toxicity, transducer, warc
+from tandem.llm import fingerprint, line_dedup, mixing, near_dedup, quality, token_count, toxicity, transducer, warc
 
 #: The vocabulary file of the production queries; operators take it as a parameter.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(spark, _read(spark, sf_dir, "pages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -49,8 +53,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_quality_rules, op8_mixing, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_quality_rules, op8_mixing, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_mixing": mixing.SQL}
+    return {"op1_warc": warc.SQL, "op2_near_dedup": near_dedup.SQL, "op5_line_dedup": line_dedup.SQL, "op6_quality_rules": quality.SQL, "op8_mixing": mixing.SQL}
