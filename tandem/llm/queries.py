@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import fingerprint, line_dedup, mixing, near_dedup, quality, token_count, toxicity, transducer, warc
+from tandem.llm import fingerprint, html_text, line_dedup, mixing, near_dedup, quality, token_count, toxicity, transducer, warc
 
 #: The vocabulary file of the production queries; operators take it as a parameter.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_quality_rules, op8_mixing, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_toxicity, op4_sentencepiece, op5_line_dedup, op6_quality_rules, op7_html_text, op8_mixing, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
