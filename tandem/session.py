@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tandem", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -20,3 +22,18 @@ def get_session(app: str = "tandem", cores: str | int = "*", partitions: int = 8
         .config("spark.driver.memory", os.environ.get("TANDEM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+_own: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir (a temporary one where it is unset, as in tests) and read back: a fixed table that several
+    steps can read and that outlives its executors. Deleted when the driver ends."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tandem-"))
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.read.schema(df.schema).parquet(path)
