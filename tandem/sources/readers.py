@@ -3,7 +3,6 @@ and dead-letter sinks. Paths are any that Spark's file systems open."""
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator
 
@@ -96,10 +95,10 @@ def tar_lines(spark: SparkSession, path: str) -> DataFrame:
                         if not member.isfile() or not member.name.endswith(".ndjson"):
                             continue
                         names, lines = [], []
-                        for line in io.TextIOWrapper(tar.extractfile(member), "utf-8", "replace"):
+                        for line in tar.extractfile(member):
                             if line.strip():
                                 names.append(member.name)
-                                lines.append(line.rstrip("\n"))
+                                lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
                             if len(lines) >= 1000:
                                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines)], names=["member", "value"])
                                 names, lines = [], []
