@@ -66,7 +66,8 @@ def with_removed(docs: DataFrame, site: str, min_sites: int, min_words: int) ->
     )
     gone = table(gone, "lines-gone")  # positions only: a few bytes a line, and no more than the document has lines
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_id"))
-    joined = rows.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    # Always one exchange of the texts by id: whether the other side would fit a broadcast depends on the data.
+    joined = rows.join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), "_id", "left")
     kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_at", s["i"])), lambda s: s["x"]), "\n")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept).alias("_clean"), F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("_gone"))
 
