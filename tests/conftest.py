@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from tandem.session import get_session
 
-    session = get_session("tests", 4, 4)
+    session = get_session("tests", 4, 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
