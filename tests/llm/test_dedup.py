@@ -141,3 +141,19 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = line_dedup.boilerplate(docs, min_sites=63, min_words=3, log2_k=4)
     assert sorted(r.first.doc_id % 10 for r in found.select(F.col("first")).collect()) == [3, 4, 5]
+
+
+def test_a_large_group_by_blocks(spark, monkeypatch):
+    """Near copies of which many are linked with nothing, in buckets that go to the blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for _ in range(110):
+        edited = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            edited[rng.randrange(150)] = rng.choice(vocabulary)
+        rows.append(" ".join(edited))
+    check_near(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))

@@ -106,7 +106,8 @@ def test_toxicity_learns_and_shares_subwords(spark, odd_documents, no_documents)
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
     held = [(got[i].score, y) for i, _, y in rows if y is not None and got[i].held_out]
     assert len(held) > 100 and min(s for s, y in held if y) > max(s for s, y in held if not y)
-    assert got[9000].score > 0.7 > got[9001].score  # misspellings that training never met
+    # Misspellings that training never met lie above every clean text.
+    assert got[9000].score > 0.5 and got[9000].score > 10 * max([got[9001].score, *(s for s, y in held if not y)])
     again = {r.doc_id: r.score for r in toxicity.toxicity(docs.repartition(7), labels.repartition(3)).collect()}
     assert all(abs(again[i] - got[i].score) < 1e-9 for i in again)
     odd = toxicity.toxicity(odd_documents, labels).collect()
