@@ -131,7 +131,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, de
     cutoffs = thresholds(table(features(docs.select("doc_id", "lang", "text")).drop("text"), "quality-features"), labels, alpha=alpha, delta=delta)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col("lang").alias("_lang"), F.col("text").alias("_text"))
-    kept = judge(features(plain, "_text"), cutoffs, "_lang").where("kept")
+    # Through a generator of one row: else the filter would be pushed below the features' steps, and their arrays built anew inside the loops.
+    counted = features(plain, "_text").select(*names, "_lang", F.inline(F.array(F.struct(*FEATURES))))
+    kept = judge(counted, cutoffs, "_lang").where("kept")
     return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
