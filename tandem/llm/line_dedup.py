@@ -5,8 +5,8 @@ the sites that have it, and the first place it stands in. A key whose estimate i
 near the threshold get an exact distinct count, from one row per key and site. A line that at least `min_sites` sites have is boilerplate and
 is removed from every document, except from the first place, so that no content is lost altogether.
 
-Edge cases: lines are trimmed of `[\x20\x09-\x0D]` for comparison; lines of fewer than `min_words` words are too common by chance and stay; blank
-lines stay; a null site counts as a site of its own; a null text stays null and a text of which all lines go becomes empty; a line's first
+Edge cases: lines are trimmed of `[\x20\x09-\x0D]` for comparison; every line that isn't blank counts, however short (`min_words` = 1; a line of a
+script without spaces is one word), and a caller may ask for more words; blank lines stay; a null site counts as a site of its own; a null text stays null and a text of which all lines go becomes empty; a line's first
 place is its smallest (doc_id, position), null ids last; of rows that repeat a doc_id, the same place is first in each; further columns pass through.
 """
 
@@ -36,7 +36,7 @@ def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     )
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 3, log2_k: int = 12) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 1, log2_k: int = 12) -> DataFrame:
     """The lines that at least min_sites sites have: h1, h2, sites (the estimate, or near the threshold the exact count), first (struct doc_id, at)."""
     lines = _lines(docs, site, min_words)
     margin = max(1, math.ceil(4 * 1.04 / math.sqrt(2**log2_k) * min_sites))
@@ -49,7 +49,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 5, min_w
     return table(known, "boilerplate")
 
 
-def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 3) -> DataFrame:
+def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 1) -> DataFrame:
     """docs with the boilerplate lines taken out of text; every row and column stays. Adds nothing but replaces text."""
     marked = with_removed(docs, site, min_sites, min_words)
     return marked.select(*[F.col("_clean").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
@@ -72,13 +72,14 @@ def with_removed(docs: DataFrame, site: str, min_sites: int, min_words: int) ->
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept).alias("_clean"), F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("_gone"))
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 1) -> DataFrame:
     """The op5 result, a row per document: doc_id, n_lines, n_removed (long), clean_chars (long), clean_sha256 of the text that stays (null for a null text)."""
     rows = with_removed(docs.select("doc_id", site, "text"), site, min_sites, min_words)
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.col("_gone")).cast("long").alias("n_removed"), F.length("_clean").cast("long").alias("clean_chars"), F.sha2(F.col("_clean").cast("binary"), 256).alias("clean_sha256"))
 
 
+#: The SQL of round 1 is as it was: it leaves lines of fewer than 3 words alone, which the operator no longer does.
 def _sql(min_sites: int = 5, min_words: int = 3) -> str:
     return rf"""
 WITH l AS (SELECT doc_id, coalesce('s' || source, '') AS site, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents)),

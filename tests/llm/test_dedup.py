@@ -135,6 +135,16 @@ def test_line_dedup_of_nothing(no_documents):
     assert line_dedup.line_dedup(no_documents).count() == 0
 
 
+def test_short_lines_of_many_sites_go(spark):
+    """Lines of one or two words, and of a script without spaces, as the operator runs by default; blank lines stay."""
+    rows = [(i, f"own text number {i} here\nLes.\n\nAnd ornd.\n全著作権所有\nfew{i % 4}", f"s{i % 8}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(docs).collect()}
+    assert got == dict(brute_lines(rows, 5, 1))
+    assert got[0] == rows[0][1] and got[5] == "own text number 5 here\n\nfew1"
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs).collect()} == {i: 3 * (i > 0) for i in range(24)}
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     """With a coarse sketch the estimates are off; the decisions are not."""
     rows = [(s * 10 + k, f"line number {k} of them", f"site{s}") for k in range(6) for s in range(60 + k)]
