@@ -6,14 +6,14 @@ entropy: a node whose content is the same on most pages carries nothing of the p
 one whose content differs everywhere carries all of it; an inner node mixes the entropy of its presentation with its children's importance.
 A page's text is what is left when its branches of low importance are removed, after those that HTML itself marks as no article: navigation,
 headers, footers, sidebars, forms, scripts, styles, and elements whose classes, id or role name a menu, notice, advert or reader comments.
-Where a page has an <article> or <main>, only that is read, and its running text is never removed for being repeated: copies of an article on a
-host are still articles.
+Where a page has an <article> or <main>, only that is read, and importance decides its nodes too. Copies of an article on a host are still
+articles: pages of the same text (that of <article> or <main> if there is one) count as one page, so an article isn't low for being copied.
 
 The statistics are rows (host, node, feature) that are summed before and after one exchange, entropies are sums over these, and what comes back
-to the pages is the list of a host's low nodes. A node counts only with at least MIN_PAGES pages.
+to the pages is the list of a host's low nodes. A node counts only with at least MIN_PAGES distinct pages.
 
 Edge cases: a null or empty page has the text ""; a null url is a host of its own; unclosed elements end with their parents, stray end tags are
-ignored; a page is parsed in one pass whatever its length; repeated pages count as often as they come; extra columns don't take part.
+ignored; a page is parsed in one pass whatever its length; a page's copies on a host count once; extra columns don't take part.
 """
 
 from __future__ import annotations
@@ -150,24 +150,31 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) >> 1
 
 
+def read_blocks(page: Page) -> list[tuple[Node, str]]:
+    """The blocks a page's text is made of: those in <article> or <main> if there are any, else all."""
+    return [x for x in page.blocks if x[0].article] or page.blocks
+
+
 def features(pages: DataFrame) -> DataFrame:
-    """A row per host, node and feature with the number of pages: kind 'n' (the node occurs), 's' (a presentation), 'c' (a content)."""
+    """A row per host, node and feature with the number of distinct pages: kind 'n' (the node occurs), 's' (a presentation), 'c' (a content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = pa.struct([("node", pa.string()), ("kind", pa.string()), ("feature", pa.int64())])
         for batch in batches:
-            out: dict[tuple, int] = {}
-            for site, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            digests, seen = [], []
+            for page in batch.column(1):
                 parsed = parse(page.as_py())
                 own = {(n.chain, "n", 0) for n in parsed.nodes}
                 own |= {(n.chain, "s", _hash(" ".join(dict.fromkeys(n.children)))) for n in parsed.nodes if n.children}
-                for node, text in parsed.blocks:
-                    own.add((node.chain, "c", _hash(text)))
-                for key in own:
-                    out[(site, *key)] = out.get((site, *key), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))] + [pa.array(list(out.values()), pa.int64())], names=["host", "node", "kind", "feature", "n"])
+                own |= {(node.chain, "c", _hash(text)) for node, text in parsed.blocks}
+                digests.append(_hash("\n".join(f"{node.chain} {text}" for node, text in read_blocks(parsed))))
+                seen.append([dict(zip(("node", "kind", "feature"), x)) for x in sorted(own)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), pa.array(seen, pa.list_(item))], names=["host", "digest", "seen"])
 
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node string, kind string, feature long, n long")
-    return seen.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long, seen array<struct<node:string,kind:string,feature:long>>")
+    # Copies are combined before the exchange, so a page with many is a row per task; the least of their features, as copies may differ outside of what is read.
+    once = rows.groupBy("host", "digest").agg(F.min("seen").alias("seen"))
+    return once.select("host", F.inline("seen")).groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
 
 
 def importance(pages: DataFrame) -> DataFrame:
@@ -186,24 +193,18 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """host, low: the nodes with content whose importance is below LEAST_IMPORTANCE, as a list per host (a host's list is as long as its templates are rich)."""
-    return table(importance(pages).where((F.col("importance") < LEAST_IMPORTANCE) & ~F.col("node").rlike(r">(article|main)([.>]|$)")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "low-nodes")
+    return table(importance(pages).where(F.col("importance") < LEAST_IMPORTANCE).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "low-nodes")
 
 
 def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """The text of a page without what is marked as no article and without the branches in low."""
-    parsed = parse(page)
-    rooted = any(node.article for node, _ in parsed.blocks)
     out = []
-    for node, text in parsed.blocks:
-        if rooted and not node.article:
-            continue
-        if not node.article:
-            up, dropped = node, False
-            while up is not None and not dropped:
-                dropped, up = up.chain in low, up.parent
-            if dropped:
-                continue
-        out.append(text)
+    for node, text in read_blocks(parse(page)):
+        up, dropped = node if low else None, False
+        while up is not None and not dropped:
+            dropped, up = up.chain in low, up.parent
+        if not dropped:
+            out.append(text)
     return " ".join(out)
 
 

@@ -105,6 +105,15 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The same article on every page"}
 
 
+def test_repeated_boxes_inside_an_article_go(spark):
+    """Importance decides inside article and main; copies of an article, also with other adverts around, are one page."""
+    notice = "<div><span>Buy our plan today</span></div>"
+    rows = [(i, "http://h/a", f"<{tag}><section><p>Own text {i} here</p></section>{notice}</{tag}>") for i, tag in enumerate(["article"] * 20 + ["main"] * 20)]
+    rows += [(100 + i, "http://copies/a", f"<div>Advert {i}</div><article><p>One article</p>{notice}</article>") for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == {i: f"Own text {i} here" if i < 40 else "One article Buy our plan today" for i in got} and len(got) == 70
+
+
 # -- fingerprints
 
 
