@@ -1,16 +1,19 @@
 r"""Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree: a node is a chain of elements (tag and classes), and holds how many pages have it, the distribution
-of its presentation (the sequence of its children's elements) and that of its own content (hashes of its blocks). Importance follows from
-entropy: a node whose content is the same on most pages carries nothing of the page (entropy of "which page am I on" given the content near 0),
-one whose content differs everywhere carries all of it; an inner node mixes the entropy of its presentation with its children's importance.
+of its presentation (the sequence of its children's elements) and that of its own content (a hash of all its blocks in a page together, so a list
+of many items is one content). Importance follows from entropy: a node whose content is the same on most pages carries nothing of the page
+(entropy of "which page am I on" given the content near 0), one whose content differs everywhere carries all of it; an inner node mixes the
+entropy of its presentation with the mean of its children's importance and that of its own content, by the pages that have them. What fewer than
+MIN_PAGES pages have isn't known to be repeated and counts as 1. A branch goes if its importance is low and nothing in it carries the page (has
+importance CARRIES); else the low ones of its branches and own contents go.
 A page's text is what is left when its branches of low importance are removed, after those that HTML itself marks as no article: navigation,
 headers, footers, sidebars, forms, scripts, styles, and elements whose classes, id or role name a menu, notice, advert or reader comments.
 Where a page has an <article> or <main>, only that is read, and importance decides its nodes too. Copies of an article on a host are still
 articles: pages of the same text (that of <article> or <main> if there is one) count as one page, so an article isn't low for being copied.
 
-The statistics are rows (host, node, feature) that are summed before and after one exchange, entropies are sums over these, and what comes back
-to the pages is the list of a host's low nodes. A node counts only with at least MIN_PAGES distinct pages.
+The statistics are rows (host, node, feature) that are summed before and after one exchange, entropies are sums over these; a host's nodes of
+at least MIN_PAGES pages, whose number is that of its templates, make its tree, and what comes back to the pages is the list of its low nodes. A node counts only with at least MIN_PAGES distinct pages.
 
 Edge cases: a null or empty page has the text ""; a null url is a host of its own; unclosed elements end with their parents, stray end tags are
 ignored; a page is parsed in one pass whatever its length; a page's copies on a host count once; extra columns don't take part.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm.common import table
 
-MIN_PAGES, LEAST_IMPORTANCE, DECAY = 10, 0.2, 0.9
+MIN_PAGES, LEAST_IMPORTANCE, CARRIES, DECAY = 10, 0.2, 0.5, 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -51,7 +54,7 @@ SPACE = re.compile(r"\s+")
 @dataclass
 class Node:
     tag: str
-    chain: str
+    key: int
     parent: "Node | None"
     off: bool
     article: bool
@@ -60,7 +63,7 @@ class Node:
 
 @dataclass
 class Page:
-    """A parsed page: its nodes (chain, presentation) and its blocks (node, text)."""
+    """A parsed page: its nodes (a key for the chain, presentation) and its blocks (node, text)."""
 
     nodes: list[Node]
     blocks: list[tuple[Node, str]]
@@ -72,7 +75,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def parse(page: str | None) -> Page:
     """One pass over the page's tokens."""
-    root = Node("", "", None, False, False)
+    root = Node("", 0, None, False, False)
     nodes, blocks, now, run, owner = [root], [], root, [], root
 
     def end_block() -> None:
@@ -130,7 +133,7 @@ def parse(page: str | None) -> Page:
         off = now.off or tag in NOT_ARTICLE or tag in RAW or a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "hidden" in a
         off = off or bool(tag not in ("html", "body", *ROOTS) and (NAMES.search(name) or NAMES.search(a.get("id", ""))))
         now.children.append(label)
-        now = Node(tag, f"{now.chain}>{label}", now, off, now.article or tag in ROOTS)
+        now = Node(tag, _hash(f"{now.key}>{label}"), now, off, now.article or tag in ROOTS)
         nodes.append(now)
         if m[3].endswith("/") and tag not in INLINE and tag in RAW:
             now = now.parent
@@ -142,67 +145,118 @@ def parse(page: str | None) -> Page:
     return Page(nodes, blocks)
 
 
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
-
-
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) >> 1
 
 
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
+
+
 def read_blocks(page: Page) -> list[tuple[Node, str]]:
     """The blocks a page's text is made of: those in <article> or <main> if there are any, else all."""
     return [x for x in page.blocks if x[0].article] or page.blocks
 
 
+def outline(page: Page) -> list[tuple[int, int | None, int | None, int | None]]:
+    """The page's nodes that have text in or below them: key, parent's key, hash of the presentation, hash of the own content (all blocks together)."""
+    known: dict[int, tuple[int | None, set, list]] = {}
+    done: set[int] = set()
+    for node, text in page.blocks:
+        known.setdefault(node.key, (node.parent and node.parent.key, set(), []))[2].append(text)
+        up = node
+        while up is not None and id(up) not in done:
+            done.add(id(up))
+            known.setdefault(up.key, (up.parent and up.parent.key, set(), []))[1].add(" ".join(dict.fromkeys(up.children)))
+            up = up.parent
+    return sorted((k, up, _hash("\n".join(sorted(shapes))) if any(shapes) else None, _hash("\n".join(texts)) if texts else None) for k, (up, shapes, texts) in known.items())
+
+
 def features(pages: DataFrame) -> DataFrame:
     """A row per host, node and feature with the number of distinct pages: kind 'n' (the node occurs), 's' (a presentation), 'c' (a content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = pa.struct([("node", pa.string()), ("kind", pa.string()), ("feature", pa.int64())])
+        item = pa.struct([("node", pa.int64()), ("up", pa.int64()), ("s", pa.int64()), ("c", pa.int64())])
         for batch in batches:
             digests, seen = [], []
             for page in batch.column(1):
                 parsed = parse(page.as_py())
-                own = {(n.chain, "n", 0) for n in parsed.nodes}
-                own |= {(n.chain, "s", _hash(" ".join(dict.fromkeys(n.children)))) for n in parsed.nodes if n.children}
-                own |= {(node.chain, "c", _hash(text)) for node, text in parsed.blocks}
-                digests.append(_hash("\n".join(f"{node.chain} {text}" for node, text in read_blocks(parsed))))
-                seen.append([dict(zip(("node", "kind", "feature"), x)) for x in sorted(own)])
+                digests.append(_hash("\n".join(f"{node.key} {text}" for node, text in read_blocks(parsed))))
+                seen.append([dict(zip(("node", "up", "s", "c"), x)) for x in outline(parsed)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), pa.array(seen, pa.list_(item))], names=["host", "digest", "seen"])
 
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long, seen array<struct<node:string,kind:string,feature:long>>")
-    # Copies are combined before the exchange, so a page with many is a row per task; the least of their features, as copies may differ outside of what is read.
-    once = rows.groupBy("host", "digest").agg(F.min("seen").alias("seen"))
-    return once.select("host", F.inline("seen")).groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long, seen array<struct<node:long,up:long,s:long,c:long>>")
+    # Copies are combined before the exchange, so a page with many is a row per task; the least of their outlines, as copies may differ outside of what is read.
+    once = rows.groupBy("host", "digest").agg(F.min("seen").alias("seen")).select("host", F.inline("seen"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("feature")) for k, v in (("n", F.lit(0).cast("long")), ("s", F.col("s")), ("c", F.col("c")))])
+    return once.select("host", "node", "up", F.inline(kinds)).where("feature IS NOT NULL").groupBy("host", "node", "kind", "feature").agg(F.min("up").alias("up"), F.count("*").alias("n"))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """A row per node of hosts with at least MIN_PAGES pages: host, node, importance (0 to 1)."""
+def nodes(pages: DataFrame) -> DataFrame:
+    """A row per node of at least MIN_PAGES distinct pages: host, node, up, pages, shown (entropy of its presentation), told (of its own content, null without any),
+    c (pages with own content), rare (pages of its children that are on fewer pages each)."""
     seen = features(pages)
+    total = lambda k, v: F.sum(F.when(F.col("kind") == k, v))
     sums = seen.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("pages"),
-        F.sum(F.when(F.col("kind") == "s", F.col("n") * F.log("n"))).alias("s_log"), F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("s"),
-        F.sum(F.when(F.col("kind") == "c", F.col("n") * F.log("n"))).alias("c_log"), F.sum(F.when(F.col("kind") == "c", F.col("n"))).alias("c"),
-    ).where(F.col("pages") >= MIN_PAGES)
-    entropy = lambda k: (F.log(k) - F.col(f"{k}_log") / F.col(k)) / F.log("pages")
-    sums = sums.select("host", "node", F.least(F.lit(1.0), entropy("s")).alias("shown"), F.least(F.lit(1.0), entropy("c")).alias("told"))
-    # A node without content is as important as its presentation differs; one with content mixes the two.
-    return sums.select("host", "node", F.when(F.col("told").isNull(), F.col("shown")).when(F.col("shown").isNull(), F.col("told")).otherwise((1 - DECAY) * F.col("shown") + DECAY * F.col("told")).alias("importance"))
+        F.min("up").alias("up"), total("n", F.col("n")).alias("pages"),
+        total("s", F.col("n") * F.log("n")).alias("s_log"), total("s", F.col("n")).alias("s"),
+        total("c", F.col("n") * F.log("n")).alias("c_log"), total("c", F.col("n")).alias("c"),
+    )
+    entropy = lambda k: F.when(F.col(k) < MIN_PAGES, 1.0).otherwise((F.log(k) - F.col(f"{k}_log") / F.col(k)) / F.log(k))
+    often = F.col("pages") >= MIN_PAGES
+    parts = sums.select("host", F.when(often, F.col("node")).otherwise(F.col("up")).alias("node"), F.when(often, F.struct("up", "pages", entropy("s").alias("shown"), entropy("c").alias("told"), "c")).alias("own"), F.when(~often, F.col("pages")).alias("rare"))
+    # A node's own row is one; the rare children below it are summed before their exchange.
+    known = parts.groupBy("host", "node").agg(F.max("own").alias("own"), F.coalesce(F.sum("rare"), F.lit(0)).alias("rare")).where("own IS NOT NULL")
+    return known.select("host", "node", "own.*", "rare")
+
+
+def tree_importance(tree: list[dict]) -> dict[int, tuple[float, float]]:
+    """For each node of a host's tree (rows of nodes): its importance, and the largest importance of anything in its branch."""
+    by, below = {n["node"]: n for n in tree}, {}
+    for n in tree:
+        below.setdefault(n["up"] if n["up"] in by else None, []).append(n["node"])
+    order, ahead = [], list(below.get(None, ()))
+    while ahead:
+        order.append(ahead.pop())
+        ahead += below.get(order[-1], ())
+    out: dict[int, tuple[float, float]] = {}
+    for key in reversed(order):  # children before their parents
+        n, children = by[key], below.get(key, ())
+        parts = [(by[k]["pages"], *out[k]) for k in children]
+        parts += [(n["rare"], 1.0, 1.0)] if n["rare"] else []
+        inner = bool(parts)
+        parts += [(n["c"], n["told"], n["told"])] if n["c"] else []
+        weight = sum(w for w, _, _ in parts)
+        mean = sum(w * x for w, x, _ in parts) / weight if weight else 1.0
+        out[key] = ((1 - DECAY) * (n["shown"] if n["shown"] is not None else 0.0) + DECAY * mean if inner else mean, max((x for _, _, x in parts), default=1.0))
+    return out
+
+
+def low_keys(tree: list[dict]) -> list[int]:
+    """The low branches of a host's tree by their keys, and by ~key the nodes of which only the own content is low."""
+    found, told = tree_importance(tree), {n["node"]: n["told"] if n["c"] else None for n in tree}
+    gone = {k for k, (x, most) in found.items() if x < LEAST_IMPORTANCE and most < CARRIES}
+    return sorted(gone | {~k for k, x in told.items() if x is not None and x < LEAST_IMPORTANCE and k not in gone})
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """host, low: the nodes with content whose importance is below LEAST_IMPORTANCE, as a list per host (a host's list is as long as its templates are rich)."""
-    return table(importance(pages).where(F.col("importance") < LEAST_IMPORTANCE).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "low-nodes")
+    """host, low: what is low on a host (low_keys), as a list per host (a host's list is as long as its templates are rich)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([low_keys(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], names=["host", "low"])
+
+    trees = nodes(pages).groupBy("host").agg(F.collect_list(F.struct("node", "up", "pages", "shown", "told", "c", "rare")).alias("tree"))
+    return table(trees.mapInArrow(run, "host string, low array<long>").where(F.size("low") > 0), "low-nodes")
 
 
-def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The text of a page without what is marked as no article and without the branches in low."""
     out = []
     for node, text in read_blocks(parse(page)):
-        up, dropped = node if low else None, False
+        up, dropped = node if low else None, ~node.key in low
         while up is not None and not dropped:
-            dropped, up = up.chain in low, up.parent
+            dropped, up = up.key in low, up.parent
         if not dropped:
             out.append(text)
     return " ".join(out)

@@ -114,6 +114,24 @@ def test_repeated_boxes_inside_an_article_go(spark):
     assert got == {i: f"Own text {i} here" if i < 40 else "One article Buy our plan today" for i in got} and len(got) == 70
 
 
+def test_repeated_lists_of_many_items_go(spark):
+    """Items of one node are one content of their page; inner nodes have their branches' importance."""
+    items = "".join(f"<li><em>Link {k}</em></li>" for k in range(6))
+    page = lambda i: f"<body><div><h4>Links</h4><ul>{items}</ul></div><div class=x><p>One line<p>Two lines</div><section>Lead in<p>Own {i}<p>text {i}</section></body>"
+    rows = [(i, "http://h/a", page(i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {i: f"Own {i} text {i}" for i in range(40)}
+    found = html_text.tree_importance([r.asDict() for r in html_text.nodes(pages).collect()])
+    keys = {(n.tag, n.parent.tag): n.key for n in html_text.parse(page(0)).nodes if n.parent}
+    assert found[keys["ul", "div"]][0] == found[keys["div", "body"]][0] == 0 and found[keys["section", "body"]][0] > 0.4 and found[keys["body", ""]][1] == 1
+
+
+def test_a_rare_part_of_a_low_branch_stays(spark):
+    rows = [(i, "http://h/a", f"<div><h4>Notice</h4><p>The same</p>{'<q2>Once only ' + str(i) + '</q2>' if i < 3 else ''}</div><section>Own {i}</section>") for i in range(40)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: (f"Once only {i} " if i < 3 else "") + f"Own {i}" for i in range(40)}
+
+
 # -- fingerprints
 
 
