@@ -520,7 +520,7 @@ def q_html_parse(spark, sf):
 @_query("WITH r AS (SELECT (doc_id % 20)::VARCHAR AS title, left(text, 400) || CASE doc_id % 3 WHEN 0 THEN ' ISBN 9780306406157' WHEN 1 THEN ' pp. 12-14, (1999' ELSE '' END AS x FROM documents) SELECT title, count(*)::BIGINT AS n_refs, (count(*) FILTER (regexp_matches(x, '(?i)(?:ISBN[-:]?\\s*)?(?:(?:978|979)[- ]?\\d{1,5}[- ]?\\d{1,7}[- ]?\\d{1,6}[- ]?\\d|\\d{1,5}[- ]?\\d{1,7}[- ]?\\d{1,6}[- ]?[\\dX])') OR contains(lower(x), 'books.google.com') OR (regexp_matches(x, '[12][0-9]{3}') AND regexp_matches(x, '(?i)\\b(?:p\\.?|pp\\.?|page|pages)\\s+\\d+(?:[-–]\\d+)?'))))::BIGINT AS n_books FROM r GROUP BY title")
 def q_book_cites(spark, sf):
     k = F.col("doc_id") % 3
-    texts = F.concat(F.substring("text", 1, 400), F.when(k == 0, " ISBN 9780306406157").when(k == 1, " pp. 12-14, (1999").otherwise(""))
+    texts = F.concat("text", F.when(k == 0, " ISBN 9780306406157").when(k == 1, " pp. 12-14, (1999").otherwise(""))
     return C.book_citations(_t(spark, sf, "documents").select((F.col("doc_id") % 20).cast("string").alias("title"), F.array(texts, F.lit(None).cast("string")).alias("texts")))
 
 
