@@ -504,7 +504,7 @@ def q_text_build(spark, sf):
 
 @_query("WITH c AS (SELECT conv_id, turn, role, left(text, 1) AS t FROM conversations), h AS (SELECT conv_id, min(turn) AS first FROM c GROUP BY conv_id), k AS (SELECT c.conv_id, c.turn, NOT (c.turn = h.first AND EXISTS (SELECT 1 FROM c o WHERE o.conv_id = c.conv_id AND o.turn <> c.turn AND o.t IS NOT DISTINCT FROM c.t)) AS stays FROM c JOIN h USING (conv_id)) SELECT conv_id, (count(*) FILTER (stays))::BIGINT AS items FROM k GROUP BY conv_id")
 def q_section_dedup(spark, sf):
-    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 1).alias("t")))).alias("s"))
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("s"))
     sections = F.transform("s", lambda s, i: F.struct(F.when(i == 0, "h1").otherwise("h2").alias("level"), F.array(F.struct(F.lit("paragraph").alias("type"), s["t"].alias("text"))).alias("content")))
     c = c.select("conv_id", sections.alias("s"))
     return c.select("conv_id", F.size(F.flatten(T.dedup_sections(F.col("s"))["content"])).cast("long").alias("items"))

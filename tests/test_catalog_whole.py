@@ -31,3 +31,12 @@ def test_book_cites_read_whole_texts(spark, tmp_path):
     got = {r.title: (r.n_refs, r.n_books) for r in catalog.queries()["q_book_cites"](spark, tables(spark, tmp_path, documents=(rows, "doc_id long, text string"))).collect()}
     assert got == {k: (len(x), sum(map(brute_book, x))) for k, x in texts.items()}
     assert sum(brute_book(t[:400]) for t in texts["2"]) < got["2"][1] < got["2"][0]
+
+
+def test_section_dedup_compares_whole_texts(spark, tmp_path):
+    """The first turn's section goes only if another turn has its whole text; a null text is equal to a null text."""
+    talks = {1: ["same start, one end", "same start, other end"], 2: ["the same", "else", "the same"], 3: [None, None], 4: [None, ""], 5: ["alone"], 6: ["x", "y", "y"], 7: ["", ""], 8: ["a" * 5000 + "b", "a" * 5000 + "c"]}
+    rows = [(c, k + 1, "user", t) for c, x in talks.items() for k, t in enumerate(x)]
+    random.Random(1).shuffle(rows)
+    got = {r.conv_id: r["items"] for r in catalog.queries()["q_section_dedup"](spark, tables(spark, tmp_path, conversations=(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {c: len(x) - (x[0] in x[1:]) for c, x in talks.items()} == {1: 2, 2: 2, 3: 1, 4: 2, 5: 1, 6: 3, 7: 1, 8: 2}
