@@ -453,8 +453,8 @@ def q_chunks(spark, sf):
 
 
 def _outlines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 20)
-    o = F.transform(lines, lambda x: F.struct((F.length(x) % 3 + 1).alias("lvl"), F.substring(F.lower(x), 1, 8).alias("name")))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    o = F.transform(lines, lambda x: F.struct((F.length(x) % 3 + 1).alias("lvl"), F.lower(x).alias("name")))
     d = _t(spark, sf, "documents").select("doc_id", o.alias("o"))
     return d.where("doc_id % 2 = 0").select("doc_id", F.col("o").alias("a")).join(d.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("o").alias("b")), "doc_id")
 

@@ -1,8 +1,11 @@
 """Catalogue queries on small written tables, against brute force over whole texts."""
 
+import math
 import random
 import re
 
+import pytest
+
 from tandem.plans import catalog
 
 
@@ -40,3 +43,50 @@ def test_section_dedup_compares_whole_texts(spark, tmp_path):
     random.Random(1).shuffle(rows)
     got = {r.conv_id: r["items"] for r in catalog.queries()["q_section_dedup"](spark, tables(spark, tmp_path, conversations=(rows, "conv_id long, turn long, role string, text string"))).collect()}
     assert got == {c: len(x) - (x[0] in x[1:]) for c, x in talks.items()} == {1: 2, 2: 2, 3: 1, 4: 2, 5: 1, 6: 3, 7: 1, 8: 2}
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def brute_outline(text):
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    levels, tree = [len(x) % 3 + 1 for x in lines], []
+    for x in levels:
+        tree.append(max(1, min(x, (tree[-1] if tree else 1) + 1)))
+    return [x.lower() for x in lines], levels, [x - y for x, y in zip(tree, [0, *tree])]
+
+
+def brute_compare(a, b):
+    (an, al, at), (bn, bl, bt) = brute_outline(a), brute_outline(b)
+    ha, hb = ([levels.count(i) for i in (1, 2, 3)] for levels in (al, bl))
+    dot, size = sum(x * y for x, y in zip(ha, hb)), math.sqrt(sum(x * x for x in ha) * sum(x * x for x in hb))
+    longest, union = max(len(an), len(bn), 1), set(an) | set(bn)
+    return {
+        "lcs": brute_lcs(an, bn), "lcs_ratio": brute_lcs(an, bn) / longest, "jaccard": len(set(an) & set(bn)) / len(union) if union else 1.0,
+        "depth_cosine": dot / size if size else float(not an and not bn), "shape_similarity": brute_lcs(at, bt) / longest,
+        "a_outline_length": len(an), "b_outline_length": len(bn), "outline_length_diff": len(bn) - len(an), "outline_length_ratio": len(bn) / len(an) if an else None,
+    }
+
+
+def test_outlines_of_all_lines(spark, tmp_path):
+    """Documents of many lines that share their first characters and differ, or agree, further on."""
+    rng = random.Random(2)
+    line = lambda: f"Chapter {rng.choice('abcdefgh')} of {'many ' * rng.randrange(3)}words"
+    texts = ["\n".join(line() if rng.random() < 0.9 else " " for _ in range(n)) for n in (3, 150, 70, 70, 21, 20, 400, 30)] + ["", "one line", "", ""]
+    texts += ["\n".join([f"own {k}" for k in range(20)] + tail) for tail in (["end A"] * 9, [f"end {k}" for k in range(30)])]
+    at = tables(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    want = {i: brute_compare(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)}
+    for name in ("q_outline_jaccard", "q_outline_lcs", "q_depth_cosine", "q_shape_similarity", "q_structure_compare"):
+        got = {r.doc_id: r.asDict() for r in catalog.queries()[name](spark, at).collect()}
+        assert set(got) == set(want)
+        for i, r in got.items():
+            del r["doc_id"]
+            assert r == {k: pytest.approx(want[i][k], abs=1e-6) if want[i][k] is not None else None for k in r}, (name, i)
+    assert want[2]["a_outline_length"] > 20
