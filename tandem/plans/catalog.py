@@ -510,9 +510,19 @@ def q_section_dedup(spark, sf):
     return c.select("conv_id", F.size(F.flatten(T.dedup_sections(F.col("s"))["content"])).cast("long").alias("items"))
 
 
+def _article_layout(html: Column) -> Column:
+    """A whole page in the layout of the parser's: headings get an id, paragraphs become spans (a paragraph or heading ends an open one), navigation the references."""
+    for pattern, to in (
+        (r"(?i)<p(?=[\s>])([^>]*)>", f'</span><span$1 class="{article_html.PARAGRAPH}">'), (r"(?i)</p\s*>", "</span>"), (r"(?i)<h([1-3])(?=[\s>])", '</span><h$1 id="t"'),
+        (r"(?i)<nav(?=[\s>])([^>]*)>", f'<div$1 id="{article_html.REFERENCES}">'), (r"(?i)</nav\s*>", "</div>"),
+    ):
+        html = F.regexp_replace(html, pattern, to)
+    return html
+
+
 @_query()
 def q_html_parse(spark, sf):
-    box = F.concat(F.lit(f'<div class="{article_html.CONTAINER}"><h1 id="t">'), F.regexp_extract("html", "<title>([^<]*)", 1), F.lit(f'</h1><span class="{article_html.PARAGRAPH}">'), F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit('</span></div><div id="references"><ul><li>ref <a href="/x">x</a></li></ul></div>'))
+    box = F.concat(F.lit(f'<div class="{article_html.CONTAINER}">'), _article_layout(F.col("html")), F.lit("</div>"))
     parsed = article_html.parse_pages(_t(spark, sf, "pages").select("page_id", "url", box.alias("html")))
     return parsed.select("url", F.col("data.main_title").alias("main_title"), F.size("data.sections").alias("sections"), F.size("data.paragraphs").alias("paragraphs"), F.size("data.references").alias("refs"))
 

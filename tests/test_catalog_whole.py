@@ -90,3 +90,32 @@ def test_outlines_of_all_lines(spark, tmp_path):
             del r["doc_id"]
             assert r == {k: pytest.approx(want[i][k], abs=1e-6) if want[i][k] is not None else None for k in r}, (name, i)
     assert want[2]["a_outline_length"] > 20
+
+
+def test_html_parse_reads_whole_pages(spark, tmp_path):
+    """Pages of known contents, long, broken off and without their optional tags: counts of what was put in."""
+    rng = random.Random(3)
+    rows, want = [], {}
+
+    def add(refs, heads, paragraphs, end="</article></body></html>", wrap="<html><head><title>T</title><script>var t='</p><p>x';</script></head><body>", ends=True):
+        i, body, parts = len(rows), "", ["h"] * (heads - 1) + ["p"] * paragraphs
+        rng.shuffle(parts)
+        for k, kind in enumerate(["h", *parts] if heads else parts):
+            tag = f"h{1 + (k > 0) * rng.randrange(1, 3)}"
+            close = "</p>" if ends or rng.random() < 0.5 else ""
+            body += f"<{tag} class=c>Head {k} of {i}</{tag}>" if kind == "h" else f"<P class=\'x\'>Text <b>{k}</b> of {i} &amp; more{close}\\n"
+        nav = "<nav class=n><ul>" + "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(refs)) + "</ul></nav>"
+        rows.append((i, f"u{i}", f"{wrap}{nav}<article>{body}{end}"))
+        want[f"u{i}"] = (f"Head 0 of {i}" if heads else None, heads, paragraphs, refs)
+
+    add(2, 1, 3)
+    add(9, 40, 1500)
+    add(0, 3, 7, ends=False)
+    add(4, 2, 5, end="", ends=False)
+    add(1, 1, 2, wrap="")
+    add(3, 0, 0)
+    add(1, 0, 4, end="<p>Text <b>0</b> of 6 &amp; more</p></article>")
+    rows += [(20, "null", None), (21, "empty", "")]
+    want |= {"null": (None, 0, 0, 0), "empty": (None, 0, 0, 0)}
+    at = tables(spark, tmp_path, pages=(rows, "page_id long, url string, html string"))
+    assert {r.url: (r.main_title, r.sections, r.paragraphs, r.refs) for r in catalog.queries()["q_html_parse"](spark, at).collect()} == want
