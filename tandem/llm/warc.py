@@ -6,11 +6,13 @@ Archives go to the shared folder under names of their own attempt, and only thos
 
 Reader: each archive is streamed, one record in memory at a time. A record is valid if its member inflates, its header parses, its block has the
 stated length, is followed by CRLF CRLF and has the stated digest. After a failed check the reader searches for the next place, member or
-version line, at which a valid record starts, recovers from there on, and logs the bytes in between as a quarantined gap with the reason.
+version line, at which a valid record starts, recovers from there on, and logs the bytes in between as a quarantined gap with the reason. A member
+with a failed check is inflated as far as it goes and searched in the same way: its valid records count, and its bytes are a gap besides. Where
+inflation failed, the bytes before may be wrong too, so there a record needs a digest to be valid.
 
 Edge cases: a null payload is empty; a null page_id is written as a response, whatever its payload; rows that repeat the smallest page_id of their
-payload are responses all; an empty table gives no archive; a truncated archive gives the records before the cut and one gap; an archive
-without any valid record is one gap; zero bytes or line ends between records are no gap.
+payload are responses all; an empty table gives no archive; a truncated archive gives the records before the cut and one gap, and a
+record whose own member is cut, even in the member's last bytes, isn't before it; an archive without any valid record is one gap; zero bytes or line ends between records are no gap.
 """
 
 from __future__ import annotations
@@ -185,6 +187,36 @@ def _take(s: _Stream, skip: int) -> tuple[list[tuple[dict[str, str], bytes]], in
 _PLACES = re.compile(re.escape(MEMBER) + b"|" + re.escape(VERSION))
 
 
+def _rescue(s: _Stream) -> tuple[list[tuple[dict[str, str], bytes]], int, bool]:
+    """What a member with a failed check at the window's start still gives: its valid records, how many bytes of it inflate, and whether these are all."""
+    z, out, at, failed = zlib.decompressobj(31), [], 0, False
+    while s.data.startswith(MEMBER) and not (z.eof or failed):
+        if at >= len(s.data) and not s.more():
+            break
+        step = min(CHUNK, len(s.data) - at)
+        while step and at < len(s.data) and not z.eof:  # after an error by halves, up to the byte that raises it
+            ahead = z.copy()
+            try:
+                out.append(ahead.decompress(bytes(s.data[at : at + step])))
+            except zlib.error:
+                step, failed = step // 2, True
+                continue
+            z, at = ahead, min(len(s.data), at + step)
+    data, end, last, found = b"".join(out), 0, 0, []
+    while (end := data.find(VERSION, end)) >= 0:
+        try:
+            fields, block, after = parse(data, end)
+        except Bad:
+            end += 1
+            continue
+        if z.eof or not failed or fields.get("warc-block-digest", "").lower().startswith("sha256:"):
+            found.append((fields, block))
+        end = last = after
+    if len(found) == 1 and last == len(data) and not (z.eof or failed):
+        found = []  # cut within the last bytes of its only record's member: the record isn't before the cut
+    return found, at - len(z.unused_data), z.eof
+
+
 def salvage(file) -> Iterator[Record | Gap]:
     """All valid records of an open binary file, and the gaps between them."""
     s = _Stream(file)
@@ -193,30 +225,38 @@ def salvage(file) -> Iterator[Record | Gap]:
         if blank:
             s.drop(blank)
             continue
-        try:
-            found, length = _take(s, 0)
-        except Bad as e:
-            start, reason = s.at, e.args[0]
-            s.drop(1)
-            while True:
-                place = _PLACES.search(s.data)
-                if place is None:
-                    s.drop(max(0, len(s.data) - 6))
-                    if not s.more():
-                        s.drop(len(s.data))
+        start, reason = s.at, None
+        while True:
+            try:
+                found, length = _take(s, 0)
+                break
+            except Bad as e:
+                reason = reason or e.args[0]
+                some, inflated, whole = _rescue(s)
+                if some:
+                    if s.at > start:
                         yield Gap(start, s.at, reason)
-                        return
-                    continue
-                s.drop(place.start())
-                try:
-                    found, length = _take(s, 0)
-                    break
-                except Bad:
-                    s.drop(1)
+                    for fields, block in some:
+                        yield Record(s.at, inflated, fields, block)
+                    start, reason = s.at, e.args[0]
+                    if whole:
+                        found, length = [], inflated
+                        s.drop(length)
+                        break
+            s.drop(1)
+            while (place := _PLACES.search(s.data)) is None:
+                s.drop(max(0, len(s.data) - 6))
+                if not s.more():
+                    s.drop(len(s.data))
+                    yield Gap(start, s.at, reason)
+                    return
+            s.drop(place.start())
+        if s.at > start:
             yield Gap(start, s.at, reason)
         for fields, block in found:
             yield Record(s.at, length, fields, block)
-        s.drop(length)
+        if found:
+            s.drop(length)
 
 
 ROWS = "kind string, archive string, offset long, length long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"

@@ -52,6 +52,30 @@ def test_long_record_and_false_version_lines():
     assert [x.fields["x-page-id"] for x in found] == ["1", "2"] and found[0].payload == body
 
 
+def test_salvage_inside_a_member():
+    """One member of many records: those before and after a bad one stay, and those before a byte at which inflation fails or ends."""
+    rng = random.Random(5)
+    records = [warc.record(i, f"http://x/{i}", rng.randbytes(2000)) for i in range(12)]
+    ids = lambda found: [int(x.fields["x-page-id"]) for x in found if isinstance(x, warc.Record)]
+    gaps = lambda found: [(x.start, x.end) for x in found if isinstance(x, warc.Gap)]
+    read = lambda data: list(warc.salvage(io.BytesIO(data)))
+    bad = bytearray(records[5])
+    bad[-100] ^= 1
+    whole, after = warc.member(b"".join([*records[:5], bytes(bad), *records[6:]])), warc.member(warc.record(12, "u", b"after"))
+    for junk in (b"", b"junk"):
+        found = read(junk + whole + after)
+        assert ids(found) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12] and gaps(found)[-1] == (len(junk), len(junk + whole)) and len(gaps(found)) == 1 + bool(junk)
+    assert ids(read(whole)) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    one = warc.member(b"".join(records))
+    assert ids(read(one)) == list(range(12)) and not gaps(read(one))
+    hurt = bytearray(one)
+    hurt[len(one) // 2] ^= 255
+    found = read(bytes(hurt) + after)
+    assert set(ids(found)) >= {0, 1, 2, 3, 4, 12} and gaps(found) == [(0, len(one))] and all(warc.record(int(x.fields["x-page-id"]), x.fields["warc-target-uri"], x.payload) in [*records, warc.record(12, "u", b"after")] for x in found if isinstance(x, warc.Record))
+    found = read(one[: len(one) // 2])
+    assert ids(found) == [0, 1, 2, 3, 4] and gaps(found) == [(0, len(one) // 2)]
+
+
 def test_round_trip_of_odd_pages(spark):
     same = "s" * 150
     rows = [(3, "u", same), (1, "u", same), (2, None, same), (None, "u", same), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (1, "u", same), (8, "ü", "é" * 99), (9, "u", "x" * 500_000)]
