@@ -153,10 +153,21 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert sorted(r.first.doc_id % 10 for r in found.select(F.col("first")).collect()) == [3, 4, 5]
 
 
-def test_a_large_group_by_blocks(spark, monkeypatch):
-    """Near copies of which many are linked with nothing, in buckets that go to the blocks."""
-    monkeypatch.setattr(near_dedup, "SMALL", 8)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+def texts_at(rng, similarity, n, length=300):
+    """n lists of words of which any two have about the given similarity: one base, of which each keeps a share of the shingles, at places of its own."""
+    base = [f"b{k}" for k in range(length)]
+    share = (2 * similarity / (1 + similarity)) ** 0.5
+    rows = []
+    for _ in range(n):
+        words = list(base)
+        while sum(words[i : i + 5] == base[i : i + 5] for i in range(length - 4)) > share * (length - 4):
+            words[rng.randrange(length)] = f"p{rng.randrange(10**9)}"
+        rows.append(words)
+    return rows
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Near copies of which many are linked with nothing."""
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(4000)]
     base = [rng.choice(vocabulary) for _ in range(150)]
@@ -167,3 +178,48 @@ def test_a_large_group_by_blocks(spark, monkeypatch):
             edited[rng.randrange(150)] = rng.choice(vocabulary)
         rows.append(" ".join(edited))
     check_near(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))
+
+
+def test_links_hidden_in_a_group_of_unlinked_texts(spark):
+    """Recall where it is hardest: pairs of similarity 0.75 to 0.80, each in a group of hundreds of texts that are linked with nothing else and share its buckets."""
+    rng = random.Random(17)
+    rows = [" ".join(x) for x in texts_at(rng, 0.55, 300)]
+    for words in texts_at(rng, 0.55, 60):
+        twin = list(words)
+        for at in range(20, 300, 300 // rng.choice([7, 8])):
+            twin[at] = f"t{rng.randrange(10**9)}"
+        rows += [" ".join(words), " ".join(twin)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    sets = [shingle_set(rows[i]) for i in order]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    near = {p for p in want if 100 * len(sets[p[0]] & sets[p[1]]) < 80 * len(sets[p[0]] | sets[p[1]])}
+    assert len(near) >= 40
+    docs = spark.createDataFrame([(k, rows[i]) for k, i in enumerate(order)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    linked = {(a, b) for a in got for b in got if a < b and got[a] == got[b]}
+    recall = sum(p in linked for p in near) / len(near)
+    print("recall at 0.75 to 0.80:", recall)
+    assert recall >= 0.9
+    brute = brute_components([(k, rows[i]) for k, i in enumerate(order)])
+    assert all(brute[a] == brute[b] for a, b in linked)
+
+
+def test_candidates_grow_with_the_group(spark, monkeypatch):
+    """Twice as many near copies that are linked with nothing: at most twice as many pairs to verify."""
+    counts = []
+    real = near_dedup.candidates
+
+    def counted(*args):
+        pairs = real(*args)
+        counts[-1] += pairs.count()
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "candidates", counted)
+    texts = [" ".join(x) for x in texts_at(random.Random(19), 0.70, 600)]
+    for n in (300, 600):
+        counts.append(0)
+        got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string").repartition(3))
+        assert got.where("kept").count() > 0.9 * n
+    print("pairs:", counts)
+    assert 0 < counts[0] and counts[1] <= 2.2 * counts[0]
