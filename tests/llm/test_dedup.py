@@ -127,7 +127,6 @@ def test_line_dedup(odd_documents, min_sites):
     assert got.columns == odd_documents.columns
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     have = sorted(((r.doc_id, r.text) for r in got.collect()), key=key)
-    # Rows that repeat a doc_id with other texts share the removed positions; the fixture's don't have boilerplate.
     assert have == sorted(brute_lines(rows, min_sites, 3), key=key)
 
 
@@ -145,6 +144,21 @@ def test_short_lines_of_many_sites_go(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs).collect()} == {i: 3 * (i > 0) for i in range(24)}
 
 
+def test_rows_of_one_id_lose_only_their_own_boilerplate(spark):
+    """Repeated and null ids, boilerplate at different places of them, columns of clashing names, and a text of many lines."""
+    rows = [(i % 40 if i % 4 else None, f"own {i} text\n{'pad' + str(i)}\nshared line here" if i % 3 else f"shared line here\nown {i} text\nBye.", f"s{i % 8}") for i in range(160)]
+    rows += [rows[5], rows[8], (None, "shared line here\nprecious", "s1"), (None, "precious too\nshared line here\nBye.", "s1"), (50, None, "s1"), (50, "Bye.", "s2"), (None, None, None)]
+    rows.append((60, "\n".join(f"l{k}" if k % 2 else "Bye." for k in range(20_000)), "s3"))
+    clash = ["_id", "_at", "_clean", "_gone", "removed", "lines", "at", "h1", "t1", "site", "clean", "row_doc_id", "a.b"]
+    docs = spark.createDataFrame([(*r, *map(str, range(len(clash)))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in clash)).repartition(4)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    out = line_dedup.remove_lines(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and all([r[c] for c in clash] == list(map(str, range(len(clash)))) for r in got)
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(brute_lines(rows, 5, 1), key=key)
+    assert any("precious" == r.text for r in got) and len(line_dedup.line_dedup(docs).collect()) == len(rows)
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     """With a coarse sketch the estimates are off; the decisions are not."""
     rows = [(s * 10 + k, f"line number {k} of them", f"site{s}") for k in range(6) for s in range(60 + k)]
