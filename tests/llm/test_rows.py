@@ -257,6 +257,37 @@ def test_thresholds_control_rejection(spark, odd_documents, no_documents):
     assert quality.quality_rules(no_documents, lab).count() == 0 and quality.quality_rules(odd_documents, lab.limit(0)).count() == odd_documents.count()
 
 
+def test_the_verdict_rejects_few_good_documents(spark):
+    """Over many strata drawn at random, the verdict of all rules together rejects more than alpha of the good documents in no more than about delta of them."""
+    rng, alpha = random.Random(21), 0.05
+    rows, labels = [], []
+    for i in range(60 * 400):
+        good = rng.random() < 0.8
+        level = lambda worse: max(0, int(rng.gauss(8, 5) + (0 if good else worse)))
+        rows.append((i, f"l{i % 60}", 100, 500 + level(900), level(60), min(25, level(12) // 8), min(25, level(15))))
+        labels += [(i, int(good))] * (1 + (i % 9 == 0))
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality.FEATURES))
+    cutoffs = quality.thresholds(scored, spark.createDataFrame(labels, "doc_id long, quality int"), alpha=alpha)
+    # Fresh documents of the same kind stand for the whole of a stratum.
+    fresh = []
+    for i in range(60 * 1000):
+        level = lambda: max(0, int(rng.gauss(8, 5)))
+        fresh.append((i, f"l{i % 60}", 100, 500 + level(), level(), min(25, level() // 8), min(25, level())))
+    out = quality.judge(spark.createDataFrame(fresh, scored.schema), cutoffs).where("NOT base_failed").groupBy("lang").agg(F.avg((~F.col("kept")).cast("int")).alias("rate")).collect()
+    over = sum(r.rate > alpha + 3 * (alpha / 1000) ** 0.5 for r in out)
+    assert cutoffs.count() > 30 and over <= 3
+
+
+def test_quality_columns_of_clashing_names(spark):
+    clash = ["_w", "_l", "_h", "_p", "_e", "_s", "_stratum", "_c0", "_d0", "n_words", "kept", "base_failed", "a.b"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "en", *map(str, range(len(clash)))) for i in range(5)] + [(9, None, None, *[None] * len(clash))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in clash))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    out = quality.filter_documents(docs, labels)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[:5]
+    assert quality.quality_rules(docs, labels).count() == 6 and quality.features(docs).columns[-5:] == quality.FEATURES
+
+
 # -- mixing
 
 
