@@ -4,8 +4,10 @@ Writer: a gzip member per record. Of pages with equal payloads of at least MIN_R
 the others are revisits that refer to it. Which these are is found on digests alone; the payloads travel once, by page_id, to meet the answer.
 Archives go to the shared folder under names of their own attempt, and only those that a finished task has reported are read.
 
-Reader: each archive is streamed, one record in memory at a time. A record is valid if its member inflates, its header parses, its block has the
-stated length, is followed by CRLF CRLF and has the stated digest. After a failed check the reader searches for the next place, member or
+Reader: each archive is streamed, a member or record in memory at a time, of at most `most` bytes (MOST by default, also inflated): a longer one, or
+one whose damaged length or stream claims to be, is a gap with the reason "too long", after the records that lie whole within that. A record is valid
+if its member inflates, its header parses and has the digest it ends with (X-Header-Digest, which the writer adds and records with a field of the writer's must have; other archives lack it), its block
+has the stated length, is followed by CRLF CRLF and has the stated digest. No damage raises: numbers count only as up to 18 ASCII digits. After a failed check the reader searches for the next place, member or
 version line, at which a valid record starts, recovers from there on, and logs the bytes in between as a quarantined gap with the reason. A member
 with a failed check is inflated as far as it goes and searched in the same way: its valid records count, and its bytes are a gap besides. Where
 inflation failed, the bytes before may be wrong too, so there a record needs a digest to be valid.
@@ -32,13 +34,17 @@ from pyspark.sql import functions as F
 from tandem.llm.common import scratch, table
 
 MIN_REVISIT = 100
+MOST = 256 << 20
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Compressed bytes to inflate at a time: at most about 1,000 times as many come out.
+STEP = 1 << 13
 LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the format.
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HEADER_DIGEST = b"X-Header-Digest: sha256:"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -69,7 +75,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {len(payload)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    head = "\r\n".join(lines).encode() + b"\r\n"
+    return head + HEADER_DIGEST + hashlib.sha256(head).hexdigest().encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def member(data: bytes) -> bytes:
@@ -100,6 +107,11 @@ class Gap:
     reason: str
 
 
+#: Fields of the writer's own: a record that has one must end its header with the digest.
+OWN = ("x-header-digest", "x-page-id", "x-refers-to-page-id", "x-payload-length")
+NUMBER = re.compile("[0-9]{1,18}")
+
+
 def parse(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
     """The record that starts in data: its fields in lower case, its block, and where it ends. Raises Bad."""
     head = data.find(b"\r\n\r\n", start)
@@ -111,8 +123,14 @@ def parse(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Bad("header")
         fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    if not NUMBER.fullmatch(fields.get("content-length", "")) or "warc-type" not in fields:
         raise Bad("header")
+    last = data.rfind(b"\r\n", start, head) + 2
+    if data.startswith(HEADER_DIGEST, last):
+        if hashlib.sha256(data[start:last]).hexdigest().encode() != data[last + len(HEADER_DIGEST) : head]:
+            raise Bad("header digest")
+    elif any(k in fields for k in OWN):
+        raise Bad("header digest")
     end = head + 4 + int(fields["content-length"])
     if end + 4 > len(data):
         raise Bad("truncated")
@@ -147,19 +165,21 @@ class _Stream:
         self.at += n
 
 
-def _take(s: _Stream, skip: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+def _take(s: _Stream, skip: int, most: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
     """The records that start skip bytes into the window and their length in the file. Raises Bad."""
     s.have(skip + 7)
     if s.data.startswith(MEMBER, skip):
-        z, out, at = zlib.decompressobj(31), [], skip
+        z, out, at, size = zlib.decompressobj(31), [], skip, 0
         while not z.eof:
             if at >= len(s.data) and not s.more():
                 raise Bad("truncated member")
+            if size > most or at - skip > most:
+                raise Bad("too long")
             try:
-                out.append(z.decompress(bytes(s.data[at : at + CHUNK])))
+                out.append(z.decompress(bytes(s.data[at : at + STEP])))
             except zlib.error as e:
                 raise Bad("member") from e
-            at = min(len(s.data), at + CHUNK)
+            at, size = min(len(s.data), at + STEP), size + len(out[-1])
         data, end, found = b"".join(out), 0, []
         while end < len(data):
             fields, block, end = parse(data, end)
@@ -176,8 +196,10 @@ def _take(s: _Stream, skip: int) -> tuple[list[tuple[dict[str, str], bytes]], in
                 return [(fields, block)], end
             except Bad as e:
                 head = s.data.find(b"\r\n\r\n", skip)
-                stated = re.search(rb"(?i)\r\ncontent-length: *(\d+)", s.data[skip : head + 2]) if head >= 0 else None
+                stated = re.search(rb"(?i)\r\ncontent-length: *([0-9]{1,18})", s.data[skip : head + 2]) if head >= 0 else None
                 need = head - skip + 8 + int(stated[1]) if stated else 0
+                if need > most:
+                    raise Bad("too long") from e
                 if e.args[0] != "truncated" or need <= size or s.have(skip + need) is False:
                     raise
                 size = need
@@ -187,21 +209,21 @@ def _take(s: _Stream, skip: int) -> tuple[list[tuple[dict[str, str], bytes]], in
 _PLACES = re.compile(re.escape(MEMBER) + b"|" + re.escape(VERSION))
 
 
-def _rescue(s: _Stream) -> tuple[list[tuple[dict[str, str], bytes]], int, bool]:
+def _rescue(s: _Stream, most: int) -> tuple[list[tuple[dict[str, str], bytes]], int, bool]:
     """What a member with a failed check at the window's start still gives: its valid records, how many bytes of it inflate, and whether these are all."""
-    z, out, at, failed = zlib.decompressobj(31), [], 0, False
+    z, out, at, size, failed = zlib.decompressobj(31), [], 0, 0, False
     while s.data.startswith(MEMBER) and not (z.eof or failed):
-        if at >= len(s.data) and not s.more():
+        if at >= len(s.data) and not s.more() or size > most or at > most:
             break
-        step = min(CHUNK, len(s.data) - at)
-        while step and at < len(s.data) and not z.eof:  # after an error by halves, up to the byte that raises it
+        step = min(STEP, len(s.data) - at)
+        while step and at < len(s.data) and not z.eof and size <= most:  # after an error by halves, up to the byte that raises it
             ahead = z.copy()
             try:
                 out.append(ahead.decompress(bytes(s.data[at : at + step])))
             except zlib.error:
                 step, failed = step // 2, True
                 continue
-            z, at = ahead, min(len(s.data), at + step)
+            z, at, size = ahead, min(len(s.data), at + step), size + len(out[-1])
     data, end, last, found = b"".join(out), 0, 0, []
     while (end := data.find(VERSION, end)) >= 0:
         try:
@@ -217,8 +239,8 @@ def _rescue(s: _Stream) -> tuple[list[tuple[dict[str, str], bytes]], int, bool]:
     return found, at - len(z.unused_data), z.eof
 
 
-def salvage(file) -> Iterator[Record | Gap]:
-    """All valid records of an open binary file, and the gaps between them."""
+def salvage(file, most: int = MOST) -> Iterator[Record | Gap]:
+    """All valid records of an open binary file, and the gaps between them. Holds about `most` bytes, inflated and not, besides a chunk."""
     s = _Stream(file)
     while s.have(1):
         blank = len(s.data) - len(bytes(s.data).lstrip(b"\r\n\0")) if s.data[:1] in (b"\r", b"\n", b"\0") else 0
@@ -228,11 +250,11 @@ def salvage(file) -> Iterator[Record | Gap]:
         start, reason = s.at, None
         while True:
             try:
-                found, length = _take(s, 0)
+                found, length = _take(s, 0, most)
                 break
             except Bad as e:
                 reason = reason or e.args[0]
-                some, inflated, whole = _rescue(s)
+                some, inflated, whole = _rescue(s, most)
                 if some:
                     if s.at > start:
                         yield Gap(start, s.at, reason)
@@ -262,7 +284,7 @@ def salvage(file) -> Iterator[Record | Gap]:
 ROWS = "kind string, archive string, offset long, length long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 
 
-def read_archives(archives: DataFrame, payloads: bool = True, path: str = "path") -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, path: str = "path", most: int = MOST) -> DataFrame:
     """A row per record or gap (ROWS) of the archives whose URIs are in the column path. A record's digest and size are those of its full
     payload: computed for a response, as stated for a revisit. payloads=False leaves the payload null."""
     n = min(10_000, max(1, archives.count()))
@@ -274,12 +296,12 @@ def read_archives(archives: DataFrame, payloads: bool = True, path: str = "path"
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
         rows, held = [], 0
-        whole = lambda x: int(x) if x is not None and re.fullmatch(r"-?\d+", x) else None
+        whole = lambda x: int(x) if x is not None and re.fullmatch(r"-?[0-9]{1,18}", x) else None
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 system, name = _open(uri)
                 with system.open_input_stream(name, compression=None) as file:
-                    for x in salvage(file):
+                    for x in salvage(file, most):
                         if isinstance(x, Gap):
                             rows.append(("gap", uri, x.start, x.end - x.start, *[None] * 7, x.reason))
                             continue
