@@ -5,17 +5,19 @@ of its presentation (the sequence of its children's elements) and that of its ow
 of many items is one content). Importance follows from entropy: a node whose content is the same on most pages carries nothing of the page
 (entropy of "which page am I on" given the content near 0), one whose content differs everywhere carries all of it; an inner node mixes the
 entropy of its presentation with the mean of its children's importance and that of its own content, by the pages that have them. What fewer than
-MIN_PAGES pages have isn't known to be repeated and counts as 1. A branch goes if its importance is low and nothing in it carries the page (has
-importance CARRIES); else the low ones of its branches and own contents go.
-A page's text is what is left when its branches of low importance are removed, after those that HTML itself marks as no article: navigation,
-headers, footers, sidebars, forms, scripts, styles, and elements whose classes, id or role name a menu, notice, advert or reader comments.
-Where a page has an <article> or <main>, only that is read, and importance decides its nodes too. Copies of an article on a host are still
-articles: pages of the same text (that of <article> or <main> if there is one) count as one page, so an article isn't low for being copied.
+MIN_PAGES pages have isn't known to be repeated and counts as 1. The tree holds every branch that has text, also those that HTML itself marks.
+A branch goes if its importance is low and nothing in it carries the page (has importance CARRIES); else the low ones of its branches and own
+contents go. What HTML says of a branch is a prior: inside <article> or <main> low is below LOW_IN_ARTICLE, elsewhere below LOW (a menu or footer
+that comes in some variants per host); and the prior is 0, whatever the entropies, for navigation, headers, footers, sidebars, forms, elements
+whose classes, id or role name a menu, notice, advert or reader comments, and for what stands outside of <article> and <main> in a page that has one.
+So small hosts, of which no tree can be learnt, are read by the prior alone. Copies of an article on a host are still articles: pages of the same text
+(by the prior) count as one page, so an article isn't low for being copied. Scripts and styles are never text.
 
 The statistics are rows (host, node, feature) that are summed before and after one exchange, entropies are sums over these; a host's nodes of
 at least MIN_PAGES pages, whose number is that of its templates, make its tree, and what comes back to the pages is the list of its low nodes. A node counts only with at least MIN_PAGES distinct pages.
 
-Edge cases: a null or empty page has the text ""; a null url is a host of its own; unclosed elements end with their parents, stray end tags are
+Edge cases: a null or empty page has the text ""; nodes of equal importance are treated alike, so ties need no rule; a page of any length or depth
+is parsed in one pass, in time and memory proportional to it; a null url is a host of its own; unclosed elements end with their parents, stray end tags are
 ignored; a page is parsed in one pass whatever its length; a page's copies on a host count once; extra columns don't take part.
 """
 
@@ -33,10 +35,14 @@ from pyspark.sql import functions as F
 
 from tandem.llm.common import table
 
-MIN_PAGES, LEAST_IMPORTANCE, CARRIES, DECAY = 10, 0.2, 0.5, 0.9
+MIN_PAGES, LOW, LOW_IN_ARTICLE, CARRIES, DECAY = 10, 0.5, 0.2, 0.5, 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A tag whose quotes don't close before the page ends goes up to its first '>'; once that was met, all further tags of the page do.
+TAG_START = re.compile(r"</?[a-zA-Z]")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+SIMPLE_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
 #: Elements by their meaning in HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -76,57 +82,67 @@ def _attributes(text: str) -> dict[str, str]:
 def parse(page: str | None) -> Page:
     """One pass over the page's tokens."""
     root = Node("", 0, None, False, False)
-    nodes, blocks, now, run, owner = [root], [], root, [], root
+    nodes, blocks, now = [root], [], root
+    # A run of text and its owner, of what isn't marked and of what is.
+    runs, owners = ([], []), [root, root]
 
     def end_block() -> None:
-        text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
-        if text:
-            blocks.append((owner, text))
-        run.clear()
-
-    text, at = page or "", 0
+        for run, owner in zip(runs, owners):
+            text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
+            if text:
+                blocks.append((owner, text))
+            run.clear()
+
+    def leave(tag: str) -> None:
+        """Closes the innermost open element of this tag and all in it."""
+        nonlocal now
+        while now is not root:
+            name, now = now.tag, now.parent
+            open_[name] -= 1
+            if name == tag:
+                break
+
+    text, at, plain, open_ = page or "", 0, False, {}
     while at < len(text):
-        m = TOKEN.match(text, at)
+        m = (TOKEN if plain is False else SIMPLE_TOKEN).match(text, at)
+        if m[0] == "<" and plain is not None and TAG_START.match(text, at):
+            tag = PLAIN_TAG.match(text, at)
+            m, plain = tag or m, True if tag else None  # None: no further '>' in the page
         at = m.end()
-        tag = m[2]
+        tag = m[2] if m.re is not SIMPLE_TOKEN else None
         if tag is None:
             token = m[0]
             if not (token.startswith("<!") or token.startswith("<?")):
-                if not now.off:
-                    if not run:
-                        owner = now
-                    run.append(token)
+                if not runs[now.off]:
+                    owners[now.off] = now
+                runs[now.off].append(token)
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                run.append(" ")
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+                runs[now.off].append(" ")
+            if open_.get(tag):
                 if tag not in INLINE:
                     end_block()
-                now = up.parent
+                leave(tag)
             continue
         if tag not in INLINE:
             if tag == "br":
-                if not now.off:
-                    run.append(" ")
+                runs[now.off].append(" ")
                 continue
             end_block()
         if tag in VOID:
             continue
         if tag in BLOCK_ENDS_P:
             up = now
-            while up is not root and up.tag in INLINE:
+            while open_.get("p") and up is not root and up.tag in INLINE:
                 up = up.parent
             if up.tag == "p":
-                now = up.parent
+                leave("p")
         elif tag in CLOSES and now.tag in CLOSES[tag]:
-            now = now.parent
+            leave(now.tag)
             if tag == "tr" and now.tag == "tr":
-                now = now.parent
+                leave("tr")
         a = _attributes(m[3])
         name = " ".join(sorted(a.get("class", "").lower().split()))
         label = f"{tag}.{name}" if name else tag
@@ -135,12 +151,13 @@ def parse(page: str | None) -> Page:
         now.children.append(label)
         now = Node(tag, _hash(f"{now.key}>{label}"), now, off, now.article or tag in ROOTS)
         nodes.append(now)
+        open_[tag] = open_.get(tag, 0) + 1
         if m[3].endswith("/") and tag not in INLINE and tag in RAW:
-            now = now.parent
+            leave(tag)
         elif tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
             at = close.end() if close else len(text)
-            now = now.parent
+            leave(tag)
     end_block()
     return Page(nodes, blocks)
 
@@ -154,57 +171,58 @@ def host(url: Column) -> Column:
 
 
 def read_blocks(page: Page) -> list[tuple[Node, str]]:
-    """The blocks a page's text is made of: those in <article> or <main> if there are any, else all."""
-    return [x for x in page.blocks if x[0].article] or page.blocks
+    """The blocks that the prior leaves: those not marked, and of these the ones in <article> or <main> if there are any."""
+    unmarked = [x for x in page.blocks if not x[0].off]
+    return [x for x in unmarked if x[0].article] or unmarked
 
 
-def outline(page: Page) -> list[tuple[int, int | None, int | None, int | None]]:
-    """The page's nodes that have text in or below them: key, parent's key, hash of the presentation, hash of the own content (all blocks together)."""
-    known: dict[int, tuple[int | None, set, list]] = {}
+def outline(page: Page) -> list[tuple[int, int | None, int | None, int | None, bool]]:
+    """The page's nodes that have text in or below them: key, parent's key, hash of the presentation, hash of the own content (all blocks together), in an article or not."""
+    known: dict[int, tuple[int | None, set, list, bool]] = {}
     done: set[int] = set()
     for node, text in page.blocks:
-        known.setdefault(node.key, (node.parent and node.parent.key, set(), []))[2].append(text)
+        known.setdefault(node.key, (node.parent and node.parent.key, set(), [], node.article))[2].append(text)
         up = node
         while up is not None and id(up) not in done:
             done.add(id(up))
-            known.setdefault(up.key, (up.parent and up.parent.key, set(), []))[1].add(" ".join(dict.fromkeys(up.children)))
+            known.setdefault(up.key, (up.parent and up.parent.key, set(), [], up.article))[1].add(" ".join(dict.fromkeys(up.children)))
             up = up.parent
-    return sorted((k, up, _hash("\n".join(sorted(shapes))) if any(shapes) else None, _hash("\n".join(texts)) if texts else None) for k, (up, shapes, texts) in known.items())
+    return sorted((k, up, _hash("\n".join(sorted(shapes))) if any(shapes) else None, _hash("\n".join(texts)) if texts else None, article) for k, (up, shapes, texts, article) in known.items())
 
 
 def features(pages: DataFrame) -> DataFrame:
     """A row per host, node and feature with the number of distinct pages: kind 'n' (the node occurs), 's' (a presentation), 'c' (a content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = pa.struct([("node", pa.int64()), ("up", pa.int64()), ("s", pa.int64()), ("c", pa.int64())])
+        item = pa.struct([("node", pa.int64()), ("up", pa.int64()), ("s", pa.int64()), ("c", pa.int64()), ("article", pa.bool_())])
         for batch in batches:
             digests, seen = [], []
             for page in batch.column(1):
                 parsed = parse(page.as_py())
                 digests.append(_hash("\n".join(f"{node.key} {text}" for node, text in read_blocks(parsed))))
-                seen.append([dict(zip(("node", "up", "s", "c"), x)) for x in outline(parsed)])
+                seen.append([dict(zip(("node", "up", "s", "c", "article"), x)) for x in outline(parsed)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), pa.array(seen, pa.list_(item))], names=["host", "digest", "seen"])
 
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long, seen array<struct<node:long,up:long,s:long,c:long>>")
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digest long, seen array<struct<node:long,up:long,s:long,c:long,article:boolean>>")
     # Copies are combined before the exchange, so a page with many is a row per task; the least of their outlines, as copies may differ outside of what is read.
     once = rows.groupBy("host", "digest").agg(F.min("seen").alias("seen")).select("host", F.inline("seen"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("feature")) for k, v in (("n", F.lit(0).cast("long")), ("s", F.col("s")), ("c", F.col("c")))])
-    return once.select("host", "node", "up", F.inline(kinds)).where("feature IS NOT NULL").groupBy("host", "node", "kind", "feature").agg(F.min("up").alias("up"), F.count("*").alias("n"))
+    return once.select("host", "node", "up", "article", F.inline(kinds)).where("feature IS NOT NULL").groupBy("host", "node", "kind", "feature").agg(F.min("up").alias("up"), F.max("article").alias("article"), F.count("*").alias("n"))
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """A row per node of at least MIN_PAGES distinct pages: host, node, up, pages, shown (entropy of its presentation), told (of its own content, null without any),
+    """A row per node of at least MIN_PAGES distinct pages: host, node, up, article, pages, shown (entropy of its presentation), told (of its own content, null without any),
     c (pages with own content), rare (pages of its children that are on fewer pages each)."""
     seen = features(pages)
     total = lambda k, v: F.sum(F.when(F.col("kind") == k, v))
     sums = seen.groupBy("host", "node").agg(
-        F.min("up").alias("up"), total("n", F.col("n")).alias("pages"),
+        F.min("up").alias("up"), F.max("article").alias("article"), total("n", F.col("n")).alias("pages"),
         total("s", F.col("n") * F.log("n")).alias("s_log"), total("s", F.col("n")).alias("s"),
         total("c", F.col("n") * F.log("n")).alias("c_log"), total("c", F.col("n")).alias("c"),
     )
     entropy = lambda k: F.when(F.col(k) < MIN_PAGES, 1.0).otherwise((F.log(k) - F.col(f"{k}_log") / F.col(k)) / F.log(k))
     often = F.col("pages") >= MIN_PAGES
-    parts = sums.select("host", F.when(often, F.col("node")).otherwise(F.col("up")).alias("node"), F.when(often, F.struct("up", "pages", entropy("s").alias("shown"), entropy("c").alias("told"), "c")).alias("own"), F.when(~often, F.col("pages")).alias("rare"))
+    parts = sums.select("host", F.when(often, F.col("node")).otherwise(F.col("up")).alias("node"), F.when(often, F.struct("up", "article", "pages", entropy("s").alias("shown"), entropy("c").alias("told"), "c")).alias("own"), F.when(~often, F.col("pages")).alias("rare"))
     # A node's own row is one; the rare children below it are summed before their exchange.
     known = parts.groupBy("host", "node").agg(F.max("own").alias("own"), F.coalesce(F.sum("rare"), F.lit(0)).alias("rare")).where("own IS NOT NULL")
     return known.select("host", "node", "own.*", "rare")
@@ -235,8 +253,9 @@ def tree_importance(tree: list[dict]) -> dict[int, tuple[float, float]]:
 def low_keys(tree: list[dict]) -> list[int]:
     """The low branches of a host's tree by their keys, and by ~key the nodes of which only the own content is low."""
     found, told = tree_importance(tree), {n["node"]: n["told"] if n["c"] else None for n in tree}
-    gone = {k for k, (x, most) in found.items() if x < LEAST_IMPORTANCE and most < CARRIES}
-    return sorted(gone | {~k for k, x in told.items() if x is not None and x < LEAST_IMPORTANCE and k not in gone})
+    low = {n["node"]: LOW_IN_ARTICLE if n["article"] else LOW for n in tree}
+    gone = {k for k, (x, most) in found.items() if x < low[k] and most < CARRIES}
+    return sorted(gone | {~k for k, x in told.items() if x is not None and x < low[k] and k not in gone})
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
@@ -246,20 +265,17 @@ def low_nodes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([low_keys(x.as_py()) for x in batch.column(1)], pa.list_(pa.int64()))], names=["host", "low"])
 
-    trees = nodes(pages).groupBy("host").agg(F.collect_list(F.struct("node", "up", "pages", "shown", "told", "c", "rare")).alias("tree"))
+    trees = nodes(pages).groupBy("host").agg(F.collect_list(F.struct("node", "up", "article", "pages", "shown", "told", "c", "rare")).alias("tree"))
     return table(trees.mapInArrow(run, "host string, low array<long>").where(F.size("low") > 0), "low-nodes")
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The text of a page without what is marked as no article and without the branches in low."""
-    out = []
-    for node, text in read_blocks(parse(page)):
-        up, dropped = node if low else None, ~node.key in low
-        while up is not None and not dropped:
-            dropped, up = up.key in low, up.parent
-        if not dropped:
-            out.append(text)
-    return " ".join(out)
+def main_text(page: str | None, low: frozenset[int] = frozenset(), prior: bool = True) -> str:
+    """The text of a page without the branches in low and without what the prior excludes (prior=False: the tree alone decides)."""
+    parsed, gone = parse(page), set()
+    for node in parsed.nodes if low else ():  # parents come before their children
+        if node.key in low or node.parent is not None and id(node.parent) in gone:
+            gone.add(id(node))
+    return " ".join(text for node, text in (read_blocks(parsed) if prior else parsed.blocks) if id(node) not in gone and ~node.key not in low)
 
 
 def extract(pages: DataFrame) -> DataFrame:

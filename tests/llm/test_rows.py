@@ -201,6 +201,108 @@ def test_a_rare_part_of_a_low_branch_stays(spark):
     assert {r.page_id: r.text for r in got} == {i: (f"Once only {i} " if i < 3 else "") + f"Own {i}" for i in range(40)}
 
 
+def brute_low(pages):
+    """host -> (low branches, nodes of low own content), by plain loops over parsed pages, with chains of labels as nodes."""
+    by_host = {}
+    for url, page in pages:
+        name = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", url or "")
+        parsed = html_text.parse(page)
+        digest = tuple((n.key, t) for n, t in html_text.read_blocks(parsed))
+        seen = {}
+        for node, text in parsed.blocks:
+            seen.setdefault(node.key, {"up": node.parent and node.parent.key, "shapes": set(), "texts": [], "article": node.article})["texts"].append(text)
+            while node is not None:
+                seen.setdefault(node.key, {"up": node.parent and node.parent.key, "shapes": set(), "texts": [], "article": node.article})["shapes"].add(tuple(dict.fromkeys(node.children)))
+                node = node.parent
+        by_host.setdefault(name[1].lower() if name else "", {}).setdefault(digest, seen)
+    out = {}
+    for host, distinct in by_host.items():
+        nodes = {}
+        for seen in distinct.values():
+            for k, x in seen.items():
+                n = nodes.setdefault(k, {"up": x["up"], "article": x["article"], "pages": 0, "s": [], "c": []})
+                n["pages"] += 1
+                n["s"] += [tuple(sorted(x["shapes"]))] if any(x["shapes"]) else []
+                n["c"] += [tuple(x["texts"])] if x["texts"] else []
+
+        def entropy(items):
+            if len(items) < html_text.MIN_PAGES:
+                return 1.0
+            return -sum(items.count(v) / len(items) * math.log(items.count(v) / len(items)) for v in set(items)) / math.log(len(items))
+
+        def rate(k):
+            n = nodes[k]
+            parts = [(nodes[c]["pages"], *(rate(c) if nodes[c]["pages"] >= html_text.MIN_PAGES else (1.0, 1.0))) for c in nodes if nodes[c]["up"] == k and c != k]
+            inner = bool(parts)
+            parts += [(len(n["c"]), entropy(n["c"]), entropy(n["c"]))] if n["c"] else []
+            mean = sum(w * x for w, x, _ in parts) / sum(w for w, _, _ in parts)
+            value = (1 - html_text.DECAY) * (entropy(n["s"]) if n["s"] else 0.0) + html_text.DECAY * mean if inner else mean
+            return value, max(m for _, _, m in parts)
+
+        often = [k for k in nodes if nodes[k]["pages"] >= html_text.MIN_PAGES]
+        limit = {k: html_text.LOW_IN_ARTICLE if nodes[k]["article"] else html_text.LOW for k in often}
+        branches = {k for k in often if rate(k)[0] < limit[k] and rate(k)[1] < html_text.CARRIES}
+        out[host] = branches, {k for k in often if nodes[k]["c"] and entropy(nodes[k]["c"]) < limit[k] and k not in branches}
+    return out
+
+
+def brute_text(page, branches, contents):
+    parsed, out = html_text.parse(page), []
+    for node, text in html_text.read_blocks(parsed):
+        up, dropped = node, node.key in contents
+        while up is not None:
+            dropped, up = dropped or up.key in branches, up.parent
+        out += [] if dropped else [text]
+    return " ".join(out)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    rows = []
+    for i in range(150):
+        kind, host = i % 3, f"h{i % 4}"
+        links = "".join(f"<li><a>Link {k} {i % 5 if kind else 0}</a>" for k in range(rng.randrange(2, 5)))
+        own = "".join(f"<p>{word()} <b>{word()}</b> {i if rng.random() < 0.8 else 'same'}</p>" for _ in range(rng.randrange(1, 4)))
+        box = f"<section class=x><h4>Offer {i % 2}</h4><p>Buy now</p>{'<q>rare ' + str(i) + '</q>' if i % 40 == 0 else ''}</section>"
+        body = [f"<div><ul>{links}</ul></div><main>{own}{box}</main>", f"<div>{own}</div>{box}<div class=menu>{links}</div>", f"<ul>{links}</ul><td>{own}"][kind]
+        rows.append((i, f"http://{host}/{i}", f"<body>{body}<div>End of {host}</div></body>"))
+    rows += [(200 + i, f"http://h0/{i}", rows[0][2]) for i in range(20)] + [(300, None, None), (301, None, "<p>x"), (302, "http://h1/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op7_html_text(spark, str(tmp_path)).collect()}
+    low = brute_low([(u, h) for _, u, h in rows])
+    want = {i: brute_text(h, *low[re.match("http://([^/]*)", u)[1] if u else ""]) for i, u, h in rows}
+    assert got == {i: (u, want[i], len(want[i])) for i, u, _ in rows}
+    assert sum(brute_text(h, set(), set()) != want[i] for i, _, h in rows) > 60
+
+
+def test_deep_and_broken_pages_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 100_000 + "deep", frozenset([5])) == "deep"
+    assert len(html_text.main_text("<div>x" * 30_000)) == 59_999
+    assert html_text.main_text('<a "' * 50_000 + "z").startswith('<a "')
+    assert html_text.main_text("<p " + "<b '" * 20_001 + ">end").endswith("end")
+    assert html_text.main_text("</b>" * 1000 + "<i>" * 50_000 + "</b>" * 50_000 + "y") == "y"
+    assert html_text.main_text('<p>a<img alt="x>b<p>c') == "a b c"
+    assert time.perf_counter() - began < 20
+
+
+HOT = "/root/testdata/check_s/pages.parquet"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(HOT), reason="needs the tables of the check")
+def test_the_tree_alone_on_a_large_host(spark):
+    """Without marks or <article> as priors, the learnt tree gives the same text on a host of many pages; without the tree, menus and footers stay."""
+    pages = spark.read.parquet(HOT)
+    host = pages.groupBy(html_text.host(F.col("url")).alias("h")).count().orderBy(F.desc("count")).first().h
+    pages = pages.where(html_text.host(F.col("url")) == host)
+    low = frozenset(html_text.low_nodes(pages).first().low)
+    for r in pages.collect():
+        assert html_text.main_text(r.html, low, prior=False) == html_text.main_text(r.html) != html_text.main_text(r.html, prior=False)
+
+
 # -- fingerprints
 
 
