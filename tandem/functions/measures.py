@@ -116,14 +116,19 @@ def windows(tokens: Column, window: int = 250, stride: int = 150) -> Column:
     return F.when(n == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(tokens, k * stride + 1, window)))
 
 
+#: Patterns of book citations.
+ISBN = r"(?i)(?:ISBN[-:]?\s*)?(?:(?:978|979)[- ]?\d{1,5}[- ]?\d{1,7}[- ]?\d{1,6}[- ]?\d|\d{1,5}[- ]?\d{1,7}[- ]?\d{1,6}[- ]?[\dX])"
+ISBN_STRICT = r"(?i)ISBN[-:]?\s*[\dX][\dX -]{8,16}|(?:978|979)[- ]?(?:\d[- ]?){9}\d"
+PAGE = r"(?i)\b(?:p\.?|pp\.?|page|pages)\s+\d+(?:[-–]\d+)?"
+
+
 def contains_isbn(text: Column) -> Column:
-    pattern = r"(?i)(?:ISBN[-:]?\s*)?(?:(?:978|979)[- ]?\d{1,5}[- ]?\d{1,7}[- ]?\d{1,6}[- ]?\d|\d{1,5}[- ]?\d{1,7}[- ]?\d{1,6}[- ]?[\dX])"
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.coalesce(text.rlike(ISBN), F.lit(False))
 
 
 def contains_isbn_strict(text: Column) -> Column:
     """Only what says ISBN or has thirteen digits from 978 or 979."""
-    return F.coalesce(text.rlike(r"(?i)ISBN[-:]?\s*[\dX][\dX -]{8,16}|(?:978|979)[- ]?(?:\d[- ]?){9}\d"), F.lit(False))
+    return F.coalesce(text.rlike(ISBN_STRICT), F.lit(False))
 
 
 def contains_books_link(text: Column) -> Column:
@@ -135,7 +140,7 @@ def contains_year(text: Column) -> Column:
 
 
 def contains_page(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)\b(?:p\.?|pp\.?|page|pages)\s+\d+(?:[-–]\d+)?"), F.lit(False))
+    return F.coalesce(text.rlike(PAGE), F.lit(False))
 
 
 def is_book(texts: Column, strict: bool = False) -> Column:

@@ -125,6 +125,31 @@ def handle_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("diff", F.col("count_b") - F.col("count_a"))
 
 
+def relevant(cites: DataFrame, names: list[str]) -> DataFrame:
+    """The titles with a domain that contains one of the names (a short literal list): what is worth a look at its links."""
+    hit = F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(F.col("domain"), n))
+    return cites.where(hit).select("title").distinct()
+
+
+def links_with(shares: DataFrame, part: str) -> DataFrame:
+    """title, url of the links that contain part, of a title's links with the same last segment the first by spelling."""
+    hit = shares.where(F.col("url").contains(part)).groupBy("title", U.last_segment(F.col("url")).alias("_last")).agg(F.min("url").alias("url"))
+    return hit.select("title", "url")
+
+
+def journals(cites: DataFrame, listed: DataFrame) -> DataFrame:
+    """cites of journals: domains of the list (a column Domain) or of the fixed ones beside it."""
+    known = listed.select(F.lower(F.trim("Domain")).alias("domain")).where("domain <> ''").distinct()
+    known = known.unionByName(cites.sparkSession.createDataFrame([(d,) for d in U.JOURNALS], "domain string")).distinct()
+    return cites.join(known, "domain", "left_semi")
+
+
+def reference_counts(refs: DataFrame, titles: DataFrame) -> DataFrame:
+    """title, refs, domains over all titles, 0 for those without any reference with an authority."""
+    own = cites_from_references(refs).groupBy("title").agg(F.sum("cnt").alias("refs"), F.count_distinct("domain").alias("domains"))
+    return titles.select("title").distinct().join(own, "title", "left").select("title", F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("domains", F.lit(0)).alias("domains"))
+
+
 def ai_shares(urls: DataFrame) -> DataFrame:
     """urls: title, url -> title, ai_site, share_id, url of links to shared assistant conversations; one per link."""
     hit = urls.select("title", "url", U.ai_share(F.col("url")).alias("hit")).where(F.col("hit").isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import measures as M
@@ -81,7 +81,9 @@ def members(triples: DataFrame, held: str, position: str, ended: str, group: str
 def party_similarity(people: DataFrame, similarity: DataFrame, country: str) -> DataFrame:
     """people: title, party -> party category and similarity of the people that have one; the first party of a person counts, by name."""
     category = {"us": M.us_party, "uk": M.uk_party}[country]
-    first = people.withColumn("_n", F.row_number().over(Window.partitionBy("title").orderBy("party"))).where("_n = 1").drop("_n")
+    row = F.struct(*[F.col(f"`{c}`") for c in people.columns])
+    # An aggregation, as in reconcile.dedup_first: null parties last.
+    first = people.groupBy(F.col("title").alias("_title")).agg(F.min_by(row, F.struct(F.col("party").isNull(), "party")).alias("_row")).select("_row.*")
     return first.join(similarity, "title", "left").na.drop().withColumn("party_category", category(F.col("party")))
 
 

@@ -71,7 +71,7 @@ def split_dead_letters(fetched: DataFrame, status: str = "status_code") -> tuple
 def tallies(fetched: DataFrame, *by: str, status: str = "status_code") -> DataFrame:
     ok = F.coalesce(F.col(status) == 200, F.lit(False))
     out = fetched.groupBy(*by).agg(F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
-    return out.withColumn("success_rate", F.col("success") / (F.col("success") + F.col("failed")))
+    return out.withColumn("success_rate", F.try_divide(F.col("success"), F.col("success") + F.col("failed")))
 
 
 def probe_slugs(slugs: DataFrame, known: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def probe_slugs(slugs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows, uniformly and repeatably: those with the smallest hash of key and seed. A top-k step, no full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows, uniformly and repeatably: those with the smallest md5 of seed and key. A top-k step, no full sort."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def coalesced(df: DataFrame, index: Column) -> DataFrame:
@@ -99,3 +99,21 @@ def ordinal(df: DataFrame, *order: str) -> DataFrame:
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
     return placed.join(F.broadcast(before), "_part").withColumn("index", F.col("_before") + F.col("_row")).drop("_id", "_part", "_row", "_before")
+
+
+def lookup(wanted: DataFrame, index: DataFrame, key: str = "title") -> DataFrame:
+    """wanted joined with index (key and values, a row per key) by the key as it stands, else by its lower-case form with spaces; columns of wanted, then
+    the values, null where neither is known. Two left joins that Spark broadcasts or sorts by the index's size."""
+    values = [c for c in index.columns if c != key]
+    side = lambda n: index.select(F.col(key).alias(f"_k{n}"), F.struct(*values).alias(f"_v{n}"))
+    other = F.lower(F.replace(F.col(key), F.lit("_"), F.lit(" ")))
+    both = wanted.join(side(1), F.col(key) == F.col("_k1"), "left").join(side(2), other == F.col("_k2"), "left")
+    return both.select(*wanted.columns, F.coalesce("_v1", "_v2").alias("_v")).select(*wanted.columns, "_v.*")
+
+
+def outer_by(a: DataFrame, b: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """Full outer join by keys of different names; both keys stay, and other columns that both have get the endings _a and _b."""
+    names = set(a.columns) & set(b.columns)
+    end = lambda df, s: df.select(*[F.col(c).alias(c + s if c in names else c) for c in df.columns])
+    left, right = end(a, "_a"), end(b, "_b")
+    return left.join(right, left[left_on + "_a" if left_on in names else left_on] == right[right_on + "_b" if right_on in names else right_on], "full")

@@ -17,6 +17,12 @@ def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     return out.select(*by, "count", "mean", "std", "min", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"), "max")
 
 
+def extent(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """min, max, median (interpolated), the number of distinct values and the share of rows above zero, per group."""
+    v = F.col(value)
+    return df.where(v.isNotNull()).groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.median(v.cast("double")).alias("median"), F.count_distinct(v).alias("nunique"), F.avg((v > 0).cast("double")).alias("positive"))
+
+
 def mean_ci(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Per group: count, mean, std and the normal 95 % interval of the mean."""
     out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
@@ -47,7 +53,7 @@ def histogram(df: DataFrame, value: str, edges: list[float], *by: str) -> DataFr
     counts = df.where(v.isNotNull()).select(*by, bin_of(v, edges).alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("count"))
     total = counts.groupBy(*by).agg(F.sum("count").alias("_total"))
     out = counts.where("bin IS NOT NULL")
-    out = out.join(F.broadcast(total), list(by)) if by else out.join(F.broadcast(total))
+    out = out.join(total, list(by)) if by else out.join(F.broadcast(total))  # without groups, one row
     return out.select(*by, "bin", "count", (100.0 * F.col("count") / F.col("_total")).alias("percent"))
 
 

@@ -55,9 +55,7 @@ def text_b(sections: Column) -> Column:
 def dedup_sections(sections: Column) -> Column:
     """h1 sections lose the content that any other section has by (type, text), one after another; so content of two h1s stays in the later one,
     and all lists of a type share one key, as their text is null. A section needs level and content: array<struct<type, text, ...>>."""
-    key = lambda c: F.struct(c["type"], c["text"])
     same = lambda x, y: x["type"].eqNullSafe(y["type"]) & x["text"].eqNullSafe(y["text"])
-    del key
 
     def step(acc: Column, i: Column) -> Column:
         others = F.flatten(F.filter(F.transform(acc, lambda s, j: F.when(j != i, F.coalesce(s["content"], F.slice(s["content"], 1, 0)))), lambda c: c.isNotNull()))

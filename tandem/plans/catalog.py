@@ -36,10 +36,14 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tandem.plans import catalog_more  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tandem.plans import catalog_more  # noqa: F401  adds its own
+
     return dict(_SQL)
 
 
@@ -100,7 +104,7 @@ _URLS = """
 ('t2', 'https://www.youtube.com/channel/UCabcdefghijklmnopqrstuv'), ('t2', 'https://www.youtube.com/watch?v=abc'), ('t3', 'https://www.reddit.com/user/dave-1/'), ('t3', 'https://www.instagram.com/erin/'),
 ('t3', 'https://www.instagram.com/p/xyz/'), ('t3', 'https://www.instagram.com/reel/'), ('t4', 'https://www.tiktok.com/@frank?lang=en'), ('t4', 'https://truthsocial.com/@grace'), ('t4', 'https://bsky.app/profile/heidi.bsky.social'),
 ('t5', 'https://chatgpt.com/share/0123456789-abcdef'), ('t5', 'https://claude.ai/share/abcdef0123456789'), ('t5', 'https://x.com/grok'), ('t5', 'https://twitter.com/Grok/status/9'), ('t6', 'https://example.com/a'),
-('t6', 'https://youtu.be/abcdef1'), ('t6', 'https://www.pinterest.com/ivan/'), ('t6', 'https://twitter.com/search?q=x'), ('t1', 'https://x.com/bob/status/2'), ('t6', 'https://www.perplexity.ai/search/aaaaaaaaaa-1')
+('t6', 'https://youtu.be/abcdef1'), ('t6', 'https://www.pinterest.com/ivan/'), ('t6', 'https://twitter.com/search?q=x'), ('t1', 'https://x.com/bob/status/2'), ('t6', 'https://www.perplexity.ai/search/aaaaaaaaaa-1'), ('t2', 'https://www.facebook.com/judy.smith/posts/1'), ('t2', 'https://facebook.com/groups/abc'), ('t2', 'https://facebook.com/1234567'), ('t3', 'https://www.facebook.com/story.php?id=1'), ('t3', 'https://facebook.com/pages'), ('t4', 'https://facebook.com/abcd')
 """
 
 
@@ -241,10 +245,12 @@ def q_substr_sublist(spark, sf):
 def _handles_sql() -> str:
     parts = []
     for site, pattern, group in U.HANDLES:
-        if site == "facebook.com":
-            continue  # its pattern looks ahead, which this dialect can't
+        if site == "facebook.com":  # its pattern looks ahead, which this dialect can't: the same in two steps
+            pattern, group = r"https?://(?:www\.)?facebook\.com/([A-Za-z0-9_.]{5,})(?:[/?#]|$)", 1
         name = f"regexp_extract(url, '{pattern}', {group})"
         extra = f" AND name NOT IN ({', '.join(repr(n) for n in U.NO_HANDLES[site])})" if site in U.NO_HANDLES else ""
+        if site == "facebook.com":
+            extra += r" AND NOT regexp_matches(url, 'facebook\.com/(pages|groups|events|marketplace|watch|gaming|live|photo\.php)(?:/|$)') AND NOT regexp_matches(name, '^\d+$')"
         if site == "youtube.com":
             extra += " AND NOT regexp_matches(name, '^UC[a-zA-Z0-9_-]{22}$') AND NOT (contains(url, 'watch') AND NOT contains(url, '/user/') AND NOT contains(url, '/c/') AND NOT contains(url, '/channel/'))"
         if site == "instagram.com":
@@ -349,13 +355,13 @@ def q_slug(spark, sf):
     return _values(spark, _TITLES, "title").select("title", U.title_to_slug(F.col("title")).alias("slug"))
 
 
-@_query()
+@_query("SELECT * FROM (VALUES ('Sofía_Gómez', 'Sofía_Gómez | Sofa_Gmez | Sofia_Gomez'), ('O''Neil', 'O''Neil | ONeil | O_Neil'), ('ΦX174', 'ΦX174 | PhiX174 | X174'), ('plain', 'plain')) t(slug, variants)")
 def q_slug_variants(spark, sf):
-    slugs = _values(spark, "('Sofía_Gómez'), ('O''Neil'), ('ΦX174'), ('plain')", "slug")
+    slugs = _values(spark, "('Sofía_Gómez'), (\"O'Neil\"), ('ΦX174'), ('plain')", "slug")
     return slugs.select("slug", F.array_join(U.slug_variants(F.col("slug")), " | ").alias("variants"))
 
 
-@_query()
+@_query("SELECT doc_id FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 50")
 def q_sample(spark, sf):
     return R.sample_exact(_t(spark, sf, "documents").select("doc_id"), "doc_id", 50)
 
@@ -459,15 +465,33 @@ def _outlines(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("doc_id % 2 = 0").select("doc_id", F.col("o").alias("a")).join(d.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("o").alias("b")), "doc_id")
 
 
-_OUTLINES = "o AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:20] AS l FROM documents), p AS (SELECT a.doc_id, list_transform(a.l, lambda x: lower(x)[1:8]) AS an, list_transform(b.l, lambda x: lower(x)[1:8]) AS bn, list_transform(a.l, lambda x: length(x) % 3 + 1) AS al, list_transform(b.l, lambda x: length(x) % 3 + 1) AS bl FROM o a JOIN o b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0)"
+_OUTLINES = "o AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), p AS (SELECT a.doc_id, list_transform(a.l, lambda x: lower(x)) AS an, list_transform(b.l, lambda x: lower(x)) AS bn, list_transform(a.l, lambda x: length(x) % 3 + 1) AS al, list_transform(b.l, lambda x: length(x) % 3 + 1) AS bl FROM o a JOIN o b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0)"
 
 
-@_query(f"WITH {_OUTLINES} SELECT doc_id, round(CASE WHEN len(list_distinct(an || bn)) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(an), list_distinct(bn))) / len(list_distinct(an || bn))::DOUBLE END, 6)::DOUBLE AS jaccard FROM p")
+_JACCARD = "round(CASE WHEN len(list_distinct(an || bn)) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(an), list_distinct(bn))) / len(list_distinct(an || bn))::DOUBLE END, 6)::DOUBLE AS jaccard"
+
+
+@_query(f"WITH {_OUTLINES} SELECT doc_id, {_JACCARD} FROM p")
 def q_outline_jaccard(spark, sf):
     return _rounded(_outlines(spark, sf).select("doc_id", M.jaccard(F.col("a.name"), F.col("b.name")).alias("jaccard")))
 
 
-@_query()
+def _lcs_sql(name: str, a: str, b: str) -> str:
+    """Tables {name}_w and {name} (doc_id, n): the rows of the dynamic program for the lists a and b of p, one after another."""
+    return f"""{name}_w AS (SELECT doc_id, {a} AS x, {b} AS y, 0 AS i, list_transform(range(len({b}) + 1), lambda z: 0::BIGINT) AS row FROM p UNION ALL
+SELECT doc_id, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], CASE WHEN k > 1 AND y[k - 1] = x[i + 1] THEN row[k - 1] + 1 ELSE 0 END)))) FROM {name}_w WHERE i < len(x)),
+{name} AS (SELECT doc_id, row[-1] AS n FROM {name}_w WHERE i = len(x))"""
+
+
+#: An outline's clamped levels and their steps: each at most one above the one before.
+_TREES = """t_w AS (SELECT doc_id, al, bl, 0 AS i, []::BIGINT[] AS ac, []::BIGINT[] AS bc FROM p UNION ALL
+SELECT doc_id, al, bl, i + 1, CASE WHEN i < len(al) THEN list_append(ac, greatest(1, least(al[i + 1], coalesce(ac[-1], 1) + 1))) ELSE ac END, CASE WHEN i < len(bl) THEN list_append(bc, greatest(1, least(bl[i + 1], coalesce(bc[-1], 1) + 1))) ELSE bc END FROM t_w WHERE i < greatest(len(al), len(bl))),
+tree AS (SELECT doc_id, list_transform(range(1, len(ac) + 1), lambda k: ac[k] - CASE WHEN k > 1 THEN ac[k - 1] ELSE 0 END) AS an, list_transform(range(1, len(bc) + 1), lambda k: bc[k] - CASE WHEN k > 1 THEN bc[k - 1] ELSE 0 END) AS bn FROM t_w WHERE i = greatest(len(al), len(bl)))"""
+_SHAPE = _TREES + ", " + _lcs_sql("shape", "an", "bn").replace("FROM p UNION", "FROM tree UNION")
+_RATIO = "round(coalesce({0}.n / nullif(greatest(len(an), len(bn)), 0)::DOUBLE, 0), 6)::DOUBLE"
+
+
+@_query(f"WITH RECURSIVE {_OUTLINES}, {_lcs_sql('l', 'an', 'bn')} SELECT doc_id, n::INT AS lcs FROM l")
 def q_outline_lcs(spark, sf):
     return _outlines(spark, sf).select("doc_id", M.lcs_length(F.col("a.name"), F.col("b.name")).alias("lcs"))
 
@@ -475,17 +499,23 @@ def q_outline_lcs(spark, sf):
 _COUNT = "len(list_filter({0}, lambda x: x = {1}))"
 
 
-@_query(f"WITH {_OUTLINES}, c AS (SELECT doc_id, " + ", ".join(f"{_COUNT.format(s + 'l', i)} AS {s}{i}" for s in "ab" for i in (1, 2, 3)) + " FROM p) SELECT doc_id, round(CASE WHEN a1 + a2 + a3 = 0 AND b1 + b2 + b3 = 0 THEN 1.0 WHEN a1 + a2 + a3 = 0 OR b1 + b2 + b3 = 0 THEN 0.0 ELSE (a1 * b1 + a2 * b2 + a3 * b3) / (sqrt(a1 * a1 + a2 * a2 + a3 * a3) * sqrt(b1 * b1 + b2 * b2 + b3 * b3)) END, 6)::DOUBLE AS depth_cosine FROM c")
+_COSINE = "c AS (SELECT doc_id, " + ", ".join(f"{_COUNT.format(s + 'l', i)} AS {s}{i}" for s in "ab" for i in (1, 2, 3)) + " FROM p), cosine AS (SELECT doc_id, round(CASE WHEN a1 + a2 + a3 = 0 AND b1 + b2 + b3 = 0 THEN 1.0 WHEN a1 + a2 + a3 = 0 OR b1 + b2 + b3 = 0 THEN 0.0 ELSE (a1 * b1 + a2 * b2 + a3 * b3) / (sqrt(a1 * a1 + a2 * a2 + a3 * a3) * sqrt(b1 * b1 + b2 * b2 + b3 * b3)) END, 6)::DOUBLE AS depth_cosine FROM c)"
+
+
+@_query(f"WITH {_OUTLINES}, {_COSINE} SELECT * FROM cosine")
 def q_depth_cosine(spark, sf):
     return _rounded(_outlines(spark, sf).select("doc_id", M.histogram_cosine(M.depth_histogram(F.col("a.lvl")), M.depth_histogram(F.col("b.lvl"))).alias("depth_cosine")))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_OUTLINES}, {_SHAPE} SELECT doc_id, {_RATIO.format('shape')} AS shape_similarity FROM p JOIN shape USING (doc_id)")
 def q_shape_similarity(spark, sf):
     return _rounded(T.compare(_outlines(spark, sf)).select("doc_id", "shape_similarity"))
 
 
-@_query()
+@_query(
+    f"WITH RECURSIVE {_OUTLINES}, {_COSINE}, {_lcs_sql('l', 'an', 'bn')}, {_SHAPE} SELECT doc_id, {_RATIO.format('l')} AS lcs_ratio, {_JACCARD}, depth_cosine, {_RATIO.format('shape')} AS shape_similarity, len(an)::BIGINT AS a_outline_length, "
+    + "len(bn)::BIGINT AS b_outline_length, (len(bn) - len(an))::BIGINT AS outline_length_diff, round(len(bn) / nullif(len(an), 0)::DOUBLE, 6)::DOUBLE AS outline_length_ratio FROM p JOIN l USING (doc_id) JOIN shape USING (doc_id) JOIN cosine USING (doc_id)"
+)
 def q_structure_compare(spark, sf):
     return _rounded(T.compare(_outlines(spark, sf)))
 
@@ -502,7 +532,7 @@ def q_text_build(spark, sf):
     return c.select("conv_id", T.text_b(sections).alias("text"))
 
 
-@_query("WITH c AS (SELECT conv_id, turn, role, left(text, 1) AS t FROM conversations), h AS (SELECT conv_id, min(turn) AS first FROM c GROUP BY conv_id), k AS (SELECT c.conv_id, c.turn, NOT (c.turn = h.first AND EXISTS (SELECT 1 FROM c o WHERE o.conv_id = c.conv_id AND o.turn <> c.turn AND o.t IS NOT DISTINCT FROM c.t)) AS stays FROM c JOIN h USING (conv_id)) SELECT conv_id, (count(*) FILTER (stays))::BIGINT AS items FROM k GROUP BY conv_id")
+@_query("WITH c AS (SELECT conv_id, turn, role, text AS t FROM conversations), h AS (SELECT conv_id, min(turn) AS first FROM c GROUP BY conv_id), k AS (SELECT c.conv_id, c.turn, NOT (c.turn = h.first AND EXISTS (SELECT 1 FROM c o WHERE o.conv_id = c.conv_id AND o.turn <> c.turn AND o.t IS NOT DISTINCT FROM c.t)) AS stays FROM c JOIN h USING (conv_id)) SELECT conv_id, (count(*) FILTER (stays))::BIGINT AS items FROM k GROUP BY conv_id")
 def q_section_dedup(spark, sf):
     c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("s"))
     sections = F.transform("s", lambda s, i: F.struct(F.when(i == 0, "h1").otherwise("h2").alias("level"), F.array(F.struct(F.lit("paragraph").alias("type"), s["t"].alias("text"))).alias("content")))
@@ -527,7 +557,7 @@ def q_html_parse(spark, sf):
     return parsed.select("url", F.col("data.main_title").alias("main_title"), F.size("data.sections").alias("sections"), F.size("data.paragraphs").alias("paragraphs"), F.size("data.references").alias("refs"))
 
 
-@_query("WITH r AS (SELECT (doc_id % 20)::VARCHAR AS title, left(text, 400) || CASE doc_id % 3 WHEN 0 THEN ' ISBN 9780306406157' WHEN 1 THEN ' pp. 12-14, (1999' ELSE '' END AS x FROM documents) SELECT title, count(*)::BIGINT AS n_refs, (count(*) FILTER (regexp_matches(x, '(?i)(?:ISBN[-:]?\\s*)?(?:(?:978|979)[- ]?\\d{1,5}[- ]?\\d{1,7}[- ]?\\d{1,6}[- ]?\\d|\\d{1,5}[- ]?\\d{1,7}[- ]?\\d{1,6}[- ]?[\\dX])') OR contains(lower(x), 'books.google.com') OR (regexp_matches(x, '[12][0-9]{3}') AND regexp_matches(x, '(?i)\\b(?:p\\.?|pp\\.?|page|pages)\\s+\\d+(?:[-–]\\d+)?'))))::BIGINT AS n_books FROM r GROUP BY title")
+@_query("WITH r AS (SELECT (doc_id % 20)::VARCHAR AS title, text || CASE doc_id % 3 WHEN 0 THEN ' ISBN 9780306406157' WHEN 1 THEN ' pp. 12-14, (1999' ELSE '' END AS x FROM documents) SELECT title, count(*)::BIGINT AS n_refs, (count(*) FILTER (regexp_matches(x, '(?i)(?:ISBN[-:]?\\s*)?(?:(?:978|979)[- ]?\\d{1,5}[- ]?\\d{1,7}[- ]?\\d{1,6}[- ]?\\d|\\d{1,5}[- ]?\\d{1,7}[- ]?\\d{1,6}[- ]?[\\dX])') OR contains(lower(x), 'books.google.com') OR (regexp_matches(x, '[12][0-9]{3}') AND regexp_matches(x, '(?i)\\b(?:p\\.?|pp\\.?|page|pages)\\s+\\d+(?:[-–]\\d+)?'))))::BIGINT AS n_books FROM r GROUP BY title")
 def q_book_cites(spark, sf):
     k = F.col("doc_id") % 3
     texts = F.concat("text", F.when(k == 0, " ISBN 9780306406157").when(k == 1, " pp. 12-14, (1999").otherwise(""))
@@ -541,10 +571,14 @@ _LINES = "SELECT (CASE WHEN event_type = 'click' THEN 'de.wikipedia' ELSE 'en.wi
 
 @_query(f"WITH l AS ({_LINES}), p AS (SELECT string_split(value, ' ') AS p FROM l), v AS (SELECT lower(replace(p[2], '_', ' ')) AS title, p[3] AS page_id, try_cast(CASE WHEN p[4] = 'desktop' THEN p[5] ELSE p[4] END AS BIGINT) AS views FROM p WHERE p[1] = 'en.wikipedia' AND p[2] <> '-') SELECT sum(views)::BIGINT AS views, count(DISTINCT page_id)::BIGINT AS pages, round(sum(views) / 7153203240::DOUBLE, 6) AS capture_share FROM v WHERE views IS NOT NULL AND title IN (SELECT 'page ' || c_custkey FROM customer)")
 def q_pageview_capture(spark, sf):
+    titles = _t(spark, sf, "customer").select(F.concat(F.lit("page "), F.col("c_custkey")).alias("title"))
+    return _rounded(H.pageview_capture(H.pageview_lines(pageview_text(spark, sf)), titles, 7_153_203_240))
+
+
+def pageview_text(spark: SparkSession, sf: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     line = F.concat(F.when(F.col("event_type") == "click", "de.wikipedia").otherwise("en.wikipedia"), F.lit(" "), F.when(u % 11 == 0, "-").otherwise(F.concat(F.lit("Page_"), u)), F.lit(" "), u, F.when(e % 2 == 0, " desktop ").otherwise(" "), F.when(e % 13 == 0, "x").otherwise((e % 97).cast("string")))
-    titles = _t(spark, sf, "customer").select(F.concat(F.lit("page "), F.col("c_custkey")).alias("title"))
-    return _rounded(H.pageview_capture(H.pageview_lines(_t(spark, sf, "events").select(line.alias("value"))), titles, 7_153_203_240))
+    return _t(spark, sf, "events").select(line.alias("value"))
 
 
 @_query("WITH v AS (SELECT json_extract_string(props, '$.k') AS country_code, sum(value) AS views FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1) SELECT country_code, n_name AS iso3, round(views, 4) AS views FROM v LEFT JOIN nation ON country_code = n_nationkey::VARCHAR")
@@ -599,9 +633,9 @@ def q_region_map(spark, sf):
 _PARTIES = "('p1', 'Labour Party'), ('p1', 'Co-operative Party'), ('p2', 'Conservative and Unionist Party'), ('p3', 'Conservative Party'), ('p4', 'Reform UK'), ('p5', 'Green Party'), ('p6', 'Labour and Co-operative')"
 
 
-@_query(f"WITH p(title, party) AS (VALUES {_PARTIES}), f AS (SELECT title, min(party) AS party FROM p GROUP BY title), s AS (SELECT 'p' || c_custkey AS title, c_acctbal AS similarity FROM customer WHERE c_custkey <= 5) SELECT title, party, similarity, CASE WHEN contains(lower(party), 'labour') THEN 'Labour Party' WHEN contains(lower(party), 'conservative') AND NOT contains(lower(party), 'unionist') THEN 'Conservative Party' WHEN contains(lower(party), 'reform uk') THEN 'Reform UK' ELSE 'Other' END AS party_category FROM f JOIN s USING (title)")
+@_query(f"WITH p(title, party) AS (VALUES {_PARTIES}), f AS (SELECT title, min(party) AS party FROM p GROUP BY title), s AS (SELECT 'p' || c_custkey AS title, c_acctbal AS similarity FROM customer) SELECT title, party, similarity, CASE WHEN contains(lower(party), 'labour') THEN 'Labour Party' WHEN contains(lower(party), 'conservative') AND NOT contains(lower(party), 'unionist') THEN 'Conservative Party' WHEN contains(lower(party), 'reform uk') THEN 'Reform UK' ELSE 'Other' END AS party_category FROM f JOIN s USING (title)")
 def q_party(spark, sf):
-    similarity = _t(spark, sf, "customer").where("c_custkey <= 5").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("title"), F.col("c_acctbal").alias("similarity"))
+    similarity = _t(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey")).alias("title"), F.col("c_acctbal").alias("similarity"))
     return H.party_similarity(_values(spark, _PARTIES, "title, party"), similarity, "uk")
 
 

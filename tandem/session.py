@@ -27,13 +27,25 @@ def get_session(app: str = "tandem", cores: str | int = "*", partitions: int = 8
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one where it is unset, as in tests) and read back: a fixed table that several
-    steps can read and that outlives its executors. Deleted when the driver ends."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tandem-"))
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary folder of this application, on a local master only: on a cluster each
+    executor would write to its own disk."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (at or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tandem-"))).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: a fixed table that several steps can read and that outlives its executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ and dead-letter sinks. Paths are any that Spark's file systems open."""
 from __future__ import annotations
 
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,19 @@ from pyspark.sql import functions as F
 
 from tandem.functions import measures as M
 from tandem.functions import urls as U
+from tandem.operators import structure as T
+from tandem.sources.schemas import ARTICLES_A, ARTICLES_B, FIXED_ISSUES
+
+
+#: Patterns of the wikitext tables.
+ROW_START = r"(?m)^\s*\|-"
+CLASS = r'class="s-([^"]+)"'
+ID = r'id="([^"]+)"'
+LINK = r"\[\[([^|\[\]]+)(?:\|[^\]]+)?\]\]"
+SORT_VALUE = r'data-sort-value="([^"]+)"'
+STATUS = r"\{\{WP:RSPSTATUS\|([^}|]+)"
+USES = r"\{\{WP:RSPUSES\|([^}]+)\}\}"
+LAST = r"\{\{WP:RSPLAST\|(\d{4})"
 
 
 def ndjson(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -51,32 +65,102 @@ def titles(spark: SparkSession, path: str) -> DataFrame:
 
 def pageviews(spark: SparkSession, path: str) -> DataFrame:
     """Lines of pageview dumps, compressed or not; bytes that aren't UTF-8 are replaced."""
-    return spark.read.text(path)
+    return spark.read.text(path).select(F.make_valid_utf8("value").alias("value"))
+
+
+def csv_table(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """CSV files with a header, by a declared schema; a header of other names is an error. Cells that don't fit their type are null."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
+
+
+def discovered(spark: SparkSession, path: str | list[str], status: str = "exists") -> DataFrame:
+    """title, url of the probed pages of a status, a URL once."""
+    return ndjson(spark, path, "title string, url string, status string").where((F.col("status") == status) & F.col("url").isNotNull()).groupBy("url").agg(F.min("title").alias("title")).select("title", "url")
+
+
+def retry_urls(spark: SparkSession, failed: str | list[str]) -> DataFrame:
+    """url, retry: the distinct URLs of failed fetches and how to spell them at the next attempt."""
+    return ndjson(spark, failed, "url string, error string").where("url IS NOT NULL").select("url").distinct().select("url", U.retry_url(F.col("url")).alias("retry"))
+
+
+def paged_json(spark: SparkSession, path: str | list[str], items: str, schema: str) -> DataFrame:
+    """The items of pre-fetched pages of a cursor-paged API: a JSON object per file, whose list `items` holds rows of the schema. A page without it has none."""
+    page = spark.read.text(path, wholetext=True).select(F.from_json("value", f"`{items}` array<struct<{schema}>>")[items].alias("rows"))
+    return page.select(F.inline("rows"))
+
+
+def geojson_attributes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The properties of a feature collection's features, by a declared schema; geometries aren't read."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.inline(F.transform(F.from_json("value", f"features array<struct<properties:struct<{schema}>>>")["features"], lambda f: f["properties"])))
+
+
+def domain_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """title, domain, cnt of domain maps: JSON lines {title, domains: {domain: count}}, or a JSON list of {title: {domain: count}} by the suffix .json
+    of a single file. A title without domains is a row with null domain and count 0."""
+    if isinstance(path, str) and path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,map<string,bigint>>>")).alias("m"))
+        rows = whole.select(F.explode("m").alias("title", "domains"))
+    else:
+        rows = spark.read.schema("title string, domains map<string,bigint>").json(path)
+    return rows.select("title", F.explode_outer("domains").alias("domain", "cnt")).select("title", "domain", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
+
+
+def articles_a(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """title, text of corpus A's article dumps; articles without a name or text don't count."""
+    rows = ndjson(spark, path, ARTICLES_A).select(F.col("name").alias("title"), T.text_a(F.col("sections")).alias("text"))
+    return rows.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
+
+
+def articles_b(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """title, text of corpus B's scraped articles; articles without a title or text don't count."""
+    rows = ndjson(spark, path, ARTICLES_B).select("title", T.text_b(F.col("data.sections")).alias("text"))
+    return rows.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
+
+
+def fixed_issues(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row per issue, its fields as columns: slug, criticality, issueType, fixedIssuesCount, fetched_at; a slug without issues is one row of nulls."""
+    rows = ndjson(spark, path, FIXED_ISSUES).select("slug", F.explode_outer("fixedIssues").alias("issue"), "fixedIssuesCount", "fetched_at")
+    return rows.select("slug", "issue.*", "fixedIssuesCount", "fetched_at")
+
+
+def files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """path, size, modified of the files under a path of any store, by name's end; contents aren't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return rows.where(F.col("path").endswith(suffix))
+
+
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Gets or puts one file or folder between any two stores, replacing the target."""
+    conf, jpath = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    a, b = jpath(source), jpath(target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
 
 
 def reliability_table(spark: SparkSession, path: str) -> DataFrame:
     """domain, source_name, source_id, reliability_status, last_updated of wikitext source tables, one file at a time as a whole."""
     whole = spark.read.text(path, wholetext=True).select(F.col("value"))
-    row = whole.select(F.explode(F.slice(F.split("value", r"(?m)^\s*\|-"), 2, 1_000_000)).alias("row"))
+    row = whole.select(F.split("value", ROW_START).alias("rows")).select(F.explode(F.slice("rows", 2, F.size("rows"))).alias("row"))
     head = F.substring_index("row", "\n", 1)
     row = row.select("row", F.regexp_extract(head, r'class="s-([^"]+)"', 1).alias("code"), F.regexp_extract(head, r'id="([^"]+)"', 1).alias("source_id"))
     row = row.where("code <> '' AND source_id <> ''")
     # A line '| …' or '|{…' starts a cell, another line with '|' goes on with the one before.
     lines = F.filter(F.transform(F.split(F.regexp_replace("row", r"^[^\n]*\n?", ""), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.startswith("|+"))
+    rest = lambda x: x.substr(F.lit(2), F.length(x))
     cells = F.aggregate(
         lines, F.array().cast("array<string>"),
-        lambda acc, x: F.when(F.trim(F.substring(x, 2, 1 << 20)) == "", F.when((F.size(acc) > 0) & x.startswith("| "), F.concat(acc, F.array(F.lit("")))).otherwise(acc))
-        .when((F.size(acc) == 0) | x.startswith("| ") | x.startswith("|{"), F.concat(acc, F.array(F.trim(F.substring(x, 2, 1 << 20)))))
-        .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), F.trim(F.substring(x, 2, 1 << 20)))))),
+        lambda acc, x: F.when(F.trim(rest(x)) == "", F.when((F.size(acc) > 0) & x.startswith("| "), F.concat(acc, F.array(F.lit("")))).otherwise(acc))
+        .when((F.size(acc) == 0) | x.startswith("| ") | x.startswith("|{"), F.concat(acc, F.array(F.trim(rest(x)))))
+        .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), F.trim(rest(x)))))),
     )
     row = row.select("code", "source_id", cells.alias("c")).where(F.size("c") >= 6)
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("c")[0], r"\{\{[^}]+\}\}", ""), r"\[\[[^\]]+\]\]", ""), "''([^']+)''", "$1"))
     first_of = lambda text, *patterns: F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
-    name = F.coalesce(first_of(F.col("c")[0], r"\[\[([^|\[\]]+)(?:\|[^\]]+)?\]\]", r'data-sort-value="([^"]+)"'), plain)
-    code = F.coalesce(first_of(F.col("c")[1], r"\{\{WP:RSPSTATUS\|([^}|]+)"), F.col("code"))
+    name = F.coalesce(first_of(F.col("c")[0], LINK, SORT_VALUE), plain)
+    code = F.coalesce(first_of(F.col("c")[1], STATUS), F.col("code"))
     names = F.create_map(*[F.lit(x) for kv in M.STATUS_CODES.items() for x in kv])
-    uses = F.filter(F.transform(F.split(F.regexp_extract(F.col("c")[5], r"\{\{WP:RSPUSES\|([^}]+)\}\}", 1), r"\|"), lambda x: F.trim(x)), lambda d: (d != "") & ~d.startswith("["))
-    out = row.select(F.explode(uses).alias("d"), name.alias("source_name"), "source_id", F.coalesce(F.try_element_at(names, code), code).alias("reliability_status"), first_of(F.col("c")[3], r"\{\{WP:RSPLAST\|(\d{4})").cast("int").alias("last_updated"))
+    uses = F.filter(F.transform(F.split(F.regexp_extract(F.col("c")[5], USES, 1), r"\|"), lambda x: F.trim(x)), lambda d: (d != "") & ~d.startswith("["))
+    out = row.select(F.explode(uses).alias("d"), name.alias("source_name"), "source_id", F.coalesce(F.try_element_at(names, code), code).alias("reliability_status"), first_of(F.col("c")[3], LAST).cast("int").alias("last_updated"))
     domain = F.trim(F.lower(F.substring_index(F.regexp_replace(F.regexp_replace(F.split_part(F.split_part("d", F.lit("}}"), F.lit(1)), F.lit(" "), F.lit(1)), "^https?://", ""), r"^www\.", ""), "/", 1)))
     return out.select(domain.alias("domain"), "source_name", "source_id", "reliability_status", "last_updated").where("domain <> '' AND source_name <> ''")
 
@@ -114,9 +198,28 @@ def extract_titles(spark: SparkSession, path: str, wanted: DataFrame, title: str
     return lines.join(wanted.select("title"), "title", "left_semi")
 
 
-def write_domain_map(cites: DataFrame, path: str) -> None:
-    """JSON lines {title, domains: {domain: count}}; a title's domains are one document by the format."""
-    cites.groupBy("title").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "cnt")))).alias("domains")).write.mode("overwrite").json(path)
+def write_domain_map(cites: DataFrame, path: str, titles: DataFrame | None = None) -> None:
+    """JSON lines {title, domains: {domain: count}}; a title's domains are one document by the format. titles: all titles, so those without any reference
+    have an empty map."""
+    maps = cites.groupBy("title").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "cnt")))).alias("domains"))
+    if titles is not None:
+        maps = titles.select("title").distinct().join(maps, "title", "left").select("title", F.coalesce("domains", F.create_map().cast("map<string,bigint>")).alias("domains"))
+    maps.write.mode("overwrite").json(path)
+
+
+def rewrite_ndjson(df: DataFrame, path: str) -> None:
+    """Replaces the JSON lines at a path by df, which may be read from it: written beside it, then renamed. Readers see the old rows or the new ones."""
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.json(fresh)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    system = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = system.exists(jpath(path))
+    if had and not system.rename(jpath(path), jpath(old)) or not system.rename(jpath(fresh), jpath(path)):
+        raise OSError(f"{path}: can't rename; the new rows are at {fresh}")
+    if had:
+        system.delete(jpath(old), True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
