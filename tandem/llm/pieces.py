@@ -72,11 +72,12 @@ class Vocabulary:
     dummy_prefix: bool
     collapse_spaces: bool
     escape_spaces: bool
+    charsmap: bytes = b""
 
     @cached_property
     def ids(self) -> dict[str, int]:
         """The pieces that text can match."""
-        return {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER_DEFINED)}
+        return {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
 
     @cached_property
     def unknown(self) -> int:
@@ -93,23 +94,79 @@ class Vocabulary:
     def segment(self) -> re.Pattern:
         """What cuts a normalised text where no piece can span the cut: before a space symbol that follows anything else, and around line
         ends and tabs if no piece has them. Without such cuts the whole text is one segment."""
+        return self._cuts(SPACE)
+
+    @cached_property
+    def raw_segment(self) -> re.Pattern:
+        """The same for a text whose spaces aren't SPACE yet."""
+        return self._cuts(f"{SPACE} " if self.escape_spaces else SPACE)
+
+    def _cuts(self, spaces: str) -> re.Pattern:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             return re.compile(".+", re.S)
         hard = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        return re.compile(f"{SPACE}*[^{SPACE}{hard}]+|{SPACE}+" + (f"|[{hard}]" if hard else ""))
+        return re.compile(f"[{spaces}]*[^{spaces}{hard}]+|[{spaces}]+" + (f"|[{hard}]" if hard else ""))
 
-    def normalise(self, text: str) -> str:
-        """The identity normaliser with the model's space rules: an optional space before the text, spaces as SPACE."""
+    @cached_property
+    def rewriter(self) -> "Rewriter | None":
+        return Rewriter(self.charsmap) if self.charsmap else None
+
+    def prepare(self, text: str) -> str:
+        """The normaliser up to its last rule, which writes spaces as SPACE: the character map, spaces collapsed, an optional space before the text."""
+        if self.rewriter:
+            text = self.rewriter.rewrite(text)
         if self.collapse_spaces:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        text = " " + text if self.dummy_prefix else text
+            text = re.sub(" +", " ", text).lstrip(" ").rstrip(f" {SPACE}" if self.escape_spaces else " ")
+        return (" " + text if self.dummy_prefix else text) if text else ""
+
+    def normalise(self, text: str) -> str:
+        text = self.prepare(text)
         return text.replace(" ", SPACE) if self.escape_spaces else text
 
 
+class Rewriter:
+    """A normaliser's character map as a transducer over UTF-8 bytes: at each place the longest rule applies, a character without a rule is copied. The
+    map comes compiled: the size of a double array, the array, and the replacements, each ended by a zero."""
+
+    def __init__(self, charsmap: bytes):
+        size = int.from_bytes(charsmap[:4], "little")
+        self.units = struct.unpack(f"<{size // 4}I", charsmap[4 : 4 + size])
+        self.replacements = charsmap[4 + size :]
+
+    def _longest(self, data: bytes, start: int) -> tuple[int, int] | None:
+        """The end of the longest rule that starts here and where its replacement stands. A unit: the lowest byte is the label, bit 8 tells a leaf,
+        bits 10 and up are the offset, shifted by 8 more if bit 9 is set; a leaf's unit holds the value."""
+        at, found = 0, None
+        unit = self.units[0]
+        at ^= unit >> 10 << ((unit & 512) >> 6)
+        for end in range(start, len(data)):
+            at ^= data[end]
+            if at >= len(self.units):
+                break
+            unit = self.units[at]
+            if unit & 0x800000FF != data[end]:
+                break
+            at ^= unit >> 10 << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                found = end + 1, self.units[at] & 0x7FFFFFFF
+        return found
+
+    def rewrite(self, text: str) -> str:
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            rule = self._longest(data, at)
+            if rule is None:
+                size = 1 if data[at] < 0xC0 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + size])
+                at += size
+            else:
+                at, value = rule
+                out.append(self.replacements[value : self.replacements.index(0, value)])
+        return b"".join(out).decode()
+
+
 def load(path: str) -> Vocabulary:
-    """Reads a .model file on the driver. Only the identity normaliser is known; another raises ValueError."""
+    """Reads a .model file on the driver. Models with user-defined or unused pieces, whose matching has rules of its own, raise ValueError."""
     with open(path, "rb") as f:
         data = f.read()
     pieces, scores, kinds, model, rules = [], [], [], UNIGRAM, {}
@@ -123,6 +180,6 @@ def load(path: str) -> Vocabulary:
             model = dict(_fields(value)).get(3, UNIGRAM)
         elif number == 3:
             rules = dict(_fields(value))
-    if rules.get(2):
-        raise ValueError(f"{path}: a normaliser with a character map isn't supported")
-    return Vocabulary(pieces, scores, kinds, model, bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1)))
+    if USER_DEFINED in kinds or UNUSED in kinds:
+        raise ValueError(f"{path}: user-defined and unused pieces aren't supported")
+    return Vocabulary(pieces, scores, kinds, model, bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1)), rules.get(2, b""))

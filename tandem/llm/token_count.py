@@ -47,15 +47,16 @@ class Counter:
         n = len(text)
         best, width, count = [0.0] + [-INFINITY] * n, [0] * (n + 1), [0] * (n + 1)
         strange = [k for k, c in enumerate(text, 1) if c not in self.single]
-        unknown = set()
+        unknown, at = set(), 0
         for end, (size, score) in self.automaton.iter(text):
             end += 1
-            while strange and strange[0] < end:
-                self._unknown(text, strange.pop(0), best, count, unknown)
+            while at < len(strange) and strange[at] < end:
+                self._unknown(text, strange[at], best, count, unknown)
+                at += 1
             s = best[end - size] + score
             if s > best[end] or s == best[end] and size > width[end]:
                 best[end], width[end], count[end] = s, size, count[end - size] + 1
-        for end in strange:
+        for end in strange[at:]:
             self._unknown(text, end, best, count, unknown)
         return count[n]
 

@@ -1,15 +1,19 @@
 r"""SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser, the pieces and the byte fallback are compiled once: the pieces into a trie whose final states emit their ids, the fallback into arcs
-that emit the bytes of a character without a piece of its own. Composing it with an input gives a lattice over the text's positions, and the
-encoding is its shortest path in the tropical semiring (weights add along a path, the least path wins).
+Pieces, byte fallback and the normaliser's space rule are compiled once into one machine: a trie of states whose arcs read a character of the text, a
+space as well as the symbol that stands for it, and whose final states emit a piece's id with its weight; where a character is no piece, an arc
+reads it and emits its bytes with the fallback's weight. What else a normaliser does (a character map, collapsed spaces, a space before the text)
+is a transducer ahead of it. Composing the machine with an input gives a lattice over the text's positions, and the encoding is its shortest path
+in the tropical semiring (weights add along a path, the least path wins), found by relaxing each arc once, positions from left to right. One
+routine serves both kinds of models, which differ in the weights only:
 
 - Unigram model: a piece's arc weighs minus its score, a fallback arc ten more than the worst piece. Of equal paths the one whose last arc is
   longest wins at every position, as in the tokenizer.
-- BPE model: merges are not a sum of scores, so the transducer is composed once more with an acceptor of adjacent pieces: the arc from piece a to
+- BPE model: merges are not a sum of scores, so the machine is composed once more with an acceptor of adjacent pieces: the arc from piece a to
   piece b weighs 0 if merging a + b by the model's rules gives back exactly (a, b), else infinity. A text's BPE encoding is the one sequence of
   which all adjacent pairs hold (merges inside two neighbours run in the same order alone as within a text, until one crosses their border), so
-  the path of weight 0 is the tokenizer's own result. Pairs are judged when first met and remembered.
+  the path of weight 0 is the tokenizer's own result, and as each prefix of a text has one such path, a position's state is its last piece.
+  Pairs are judged when first met and remembered.
 
 Texts are cut where no piece can span the cut, and each worker remembers the paths of a bounded number of segments; what is forgotten is computed
 again, so memory is bounded whatever the texts. Decoding maps ids to bytes, joins, reads UTF-8 (bad bytes become U+FFFD), and undoes the space rules.
@@ -37,7 +41,7 @@ INFINITY = float("inf")
 
 
 class Transducer:
-    """Encodes and decodes texts; self.memo maps a segment of normalised text to its ids as bytes of self.dtype."""
+    """Encodes and decodes texts; self.memo maps a segment of a text to its ids as bytes of self.dtype."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -48,9 +52,22 @@ class Transducer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
+        if vocabulary.escape_spaces:  # the normaliser's rule " " -> SPACE, composed with the trie
+            ahead = [self.trie]
+            while ahead:
+                node = ahead.pop()
+                ahead += [v for k, v in node.items() if k not in ("", " ")]
+                if SPACE in node:
+                    node[" "] = node[SPACE]
         known = [vocabulary.scores[i] for i in vocabulary.ids.values()]
-        self.fallback_weight = 10 - min(known, default=0.0)
-        self.pairs: dict[int, bool] = {}
+        bpe = vocabulary.model == BPE
+        self.fallback_weight = 0.0 if bpe else 10 - min(known, default=0.0)
+        #: The weight of each piece's arc by itself, and the least of all.
+        self.weights = [0.0 if bpe else -x for x in vocabulary.scores]
+        self.least = 0.0 if bpe else -max(known, default=0.0)
+        #: What follows a piece (-1: the start or a fallback arc): piece -> whether the pair holds. None: any pair does.
+        self.pairs: dict[int, dict[int, bool]] | None = {} if bpe else None
+        self.judged = 0
         self.memo = Memo(self._solve, REMEMBERED)
         self.spelled = [self._spell(i) for i in range(len(vocabulary.pieces))]
 
@@ -78,13 +95,13 @@ class Transducer:
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the arc to piece b weighs 0 after piece a, or, for a = -1, after the start or a fallback arc."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            own = [self.v.pieces[b]] if a < 0 else [self.v.pieces[a], self.v.pieces[b]]
-            found = self.pairs[key] = self.merged("".join(own)) == own
+        if self.judged >= PAIRS:
+            for known in self.pairs.values():
+                known.clear()
+            self.judged = 0
+        own = [self.v.pieces[b]] if a < 0 else [self.v.pieces[a], self.v.pieces[b]]
+        found = self.pairs[a][b] = self.merged("".join(own)) == own
+        self.judged += 1
         return found
 
     # -- composition and shortest path
@@ -103,42 +120,44 @@ class Transducer:
         return out
 
     def path(self, text: str) -> list[tuple[int, int]]:
-        """The arcs (end, id) of the shortest path through the composition of the transducer with text."""
-        return self._search(text) if self.v.model == BPE else self._relax(text)
-
-    def _search(self, text: str) -> list[tuple[int, int]]:
-        """With weights 0 and infinity: the one path of weight 0, by depth-first search, longest arcs first. Only one piece before a position
-        leaves a finite weight, so a position that failed once needs no second visit."""
-        n, dead = len(text), set()
-        taken: list[tuple[int, int]] = [(0, -1)]
-        ahead = [self.arcs(text, 0)] if n else []
-        while taken[-1][0] < n:
-            before = taken[-1][1]
-            while ahead[-1]:
-                end, i = ahead[-1].pop()
-                if end not in dead and (i < 0 or self.adjacent(before, i)):
-                    taken.append((end, i))
-                    ahead.append(self.arcs(text, end) if end < n else [])
-                    break
-            else:
-                dead.add(taken.pop()[0])
-                ahead.pop()
-        return taken[1:]
-
-    def _relax(self, text: str) -> list[tuple[int, int]]:
-        """With scores as weights: every arc is relaxed once, positions from left to right; only a strictly lesser weight replaces an arc."""
-        n = len(text)
-        weight, back = [INFINITY] * (n + 1), [(0, -1)] * (n + 1)
-        weight[0] = 0.0
+        """The arcs (end, id) of the shortest path through the composition with text: every arc is relaxed once, and only a strictly lesser weight
+        replaces an arc."""
+        n, pairs, weights, least = len(text), self.pairs, self.weights, self.least
+        total, back, last = [0.0] + [INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
         for start in range(n):
-            for end, i in sorted(self.arcs(text, start), key=lambda arc: arc[1] < 0):
-                w = weight[start] + (self.fallback_weight if i < 0 else -self.v.scores[i])
-                if w < weight[end]:
-                    weight[end], back[end] = w, (start, i)
+            base, before = total[start], last[start]
+            if base == INFINITY:
+                continue
+            if pairs is not None:
+                after = pairs.get(before)
+                if after is None:
+                    after = pairs[before] = {}
+            node, end, single = self.trie, start, False
+            while end < n:
+                node = node.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                if "" not in node:
+                    continue
+                if end == start + 1:
+                    single = True
+                if total[end] <= base + least:  # no arc from here can be less
+                    continue
+                i = node[""]
+                w = base + weights[i]
+                if w < total[end]:
+                    if pairs is not None:
+                        holds = after.get(i)
+                        if not (self.adjacent(before, i) if holds is None else holds):
+                            continue
+                    total[end], back[end], last[end] = w, start, i
+            if not single and base + self.fallback_weight < total[start + 1]:
+                total[start + 1], back[start + 1], last[start + 1] = base + self.fallback_weight, start, -1
         out, at = [], n
         while at:
-            out.append((at, back[at][1]))
-            at = back[at][0]
+            out.append((at, last[at]))
+            at = back[at]
         return out[::-1]
 
     def _solve(self, segment: str) -> bytes:
@@ -150,11 +169,12 @@ class Transducer:
                 if not out or out[-1] != self.v.unknown:
                     out.append(self.v.unknown)
             else:
-                out += [self.v.byte_ids[b] for b in segment[end - 1].encode()]
+                c = segment[end - 1]
+                out += [self.v.byte_ids[b] for b in (SPACE if c == " " and self.v.escape_spaces else c).encode()]
         return np.array(out, self.dtype).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.v.segment.findall(self.v.normalise(text or "")))), self.dtype)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.v.raw_segment.findall(self.v.prepare(text or "")))), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -212,7 +232,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model: str, ids: str = "piece_ids") -> DataFrame:
-    """encoded with the column decoded: the text of each row's ids; null ids decode to null."""
+    """encoded with the column decoded last: the text of each row's ids; null ids decode to null. Other columns stay, but one of that name is replaced."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,81 @@ def test_counts_equal_the_library(vocabulary):
     assert c.count("") == c.count(None) == 0
 
 
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+def test_character_maps_equal_the_library(rule, tmp_path):
+    """The compiled maps of the library's own normalisers."""
+    spm = pytest.importorskip("sentencepiece")
+    if not hasattr(spm, "SentencePieceNormalizer"):
+        pytest.skip("no normaliser in this library")
+    library = spm.SentencePieceNormalizer(rule_name=rule)
+    proto = dict(pieces._fields(dict(pieces._fields(library.serialized_model_proto()))[3]))
+    v = pieces.Vocabulary([], [], [], pieces.UNIGRAM, bool(proto.get(3, 1)), bool(proto.get(4, 1)), bool(proto.get(5, 1)), proto[2])
+    for text in [*strings(2000, 5), "ﬁ Ⅷ ｶﾞ e\u0301 \u3000 ½ İSTANBUL ß", "", "ﾊﾟ\u200b\ufeff"]:
+        assert v.normalise(text) == library.normalize(text), repr(text)
+
+
+def test_a_model_with_a_character_map_and_spaces():
+    v = pieces.Vocabulary(["<unk>", "▁", "a", "b", "▁ab"], [0, -1, -1, -1, -1], [2, 1, 1, 1, 1], pieces.UNIGRAM, True, True, True)
+    t = transducer.Transducer(v)
+    assert [v.pieces[i] for i in t.encode("  ab   a ")] == ["▁ab", "▁", "a"] and t.encode("").tolist() == t.encode("  ").tolist() == []
+    assert t.decode(t.encode("ab a")) == "ab a"
+
+
+def test_models_with_other_kinds_of_pieces_are_refused(tmp_path):
+    field = lambda number, value: bytes([number << 3 | 2, len(value)]) + value
+    piece = lambda text, kind: field(1, field(1, text.encode()) + bytes([3 << 3, kind]))
+    for kind in (pieces.USER_DEFINED, pieces.UNUSED):
+        (tmp_path / "m.model").write_bytes(piece("<unk>", 2) + piece("a", 1) + piece("b", kind))
+        with pytest.raises(ValueError):
+            pieces.load(str(tmp_path / "m.model"))
+
+
+def test_queries_equal_the_libraries(spark, odd_documents, tmp_path):
+    """The registered queries, over a written table, against the libraries row by row."""
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    tokenizers = pytest.importorskip("tokenizers")
+    v = pieces.load(MODEL)
+    unigram = tokenizers.Tokenizer(tokenizers.models.Unigram(list(zip(v.pieces, v.scores)), v.unknown, True))
+    unigram.normalizer = tokenizers.normalizers.Sequence([tokenizers.normalizers.Prepend("▁"), tokenizers.normalizers.Replace(" ", "▁")])
+    own = odd_documents.union(spark.createDataFrame([(1000 + i, t, "en", "s", "x") for i, t in enumerate(strings(300, 9))], odd_documents.schema))
+    own.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text or "") for r in own.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    got = [(r.doc_id, r.n_pieces, list(r.piece_ids), r.round_trip) for r in queries.op4_sentencepiece(spark, str(tmp_path)).collect()]
+    want = [(i, len(ids), ids, sp.decode(ids) == t) for i, t in rows for ids in [sp.encode(t)]]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    counts = [tuple(r) for r in queries.op10_token_counts(spark, str(tmp_path)).collect()]
+    assert sorted(counts, key=key) == sorted([(i, len(unigram.encode(t, add_special_tokens=False).ids) if t else 0) for i, t in rows], key=key)
+
+
+def test_toxicity_scores_of_the_query_by_brute_force(spark, tmp_path):
+    """Every score from the trained numbers, n-gram by n-gram in plain loops, and floors for held-out rows."""
+    rng = random.Random(23)
+    clean = ["river", "stone", "lamp", "quiet", "winter", "letter", "shore", "candle", "wheel", "under"]
+    rows = [(i, " ".join([rng.choice(clean) + rng.choice(["", "s", "ly"]) for _ in range(30)] + (["scumbag", "wretched"] if i % 4 == 0 else []))) for i in range(500)] + [(501, None), (502, "12 !"), (503, "RIVER " * 50_000), (None, "stone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(400)], "doc_id long, toxic int, quality int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(docs, labels)
+
+    def brute(text):
+        words = ["<" + w + ">" for w in __import__("re").findall(r"[^\W\d_]+", (text or "").lower())]
+        total = 0.0
+        for w in words:
+            parts = [w] + [w[i : i + n] for n in (3, 4, 5) if n < len(w) for i in range(len(w) - n + 1)]
+            total += sum(model.shares[__import__("zlib").crc32(p.encode()) % toxicity.BUCKETS] for p in parts) / len(parts)
+        return 1 / (1 + __import__("math").exp(-(model.bias + (total / len(words) if words else 0.0))))
+
+    out = queries.op3_toxicity(spark, str(tmp_path)).collect()
+    texts = {i: t for i, t in rows}
+    assert len(out) == len(rows) and all(r.score == pytest.approx(brute(texts[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.7) for r in out)
+    assert all(r.held_out == (__import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1) for r in out if r.doc_id is not None)
+    held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    toxic = [r for r in held if r.doc_id % 4 == 0]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in held) - sum(r.predicted for r in toxic) <= 0.02 * len(held)
+
+
 def test_memo_keeps_what_it_solves():
     calls = []
     memo = pieces.Memo(lambda k: calls.append(k) or len(k), 4)
