@@ -2,41 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tandem.session import scratch, shared_dir, written as table  # noqa: F401
+
 #: The six separators of a word, `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\x0c\r"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary folder of this application."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tandem-"))
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM exits."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and what was made outlives its executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def words(text: Column) -> Column:
     r"""The words `[^\x20\x09-\x0D]+` of a text as an array; null and blank texts have none."""
@@ -51,12 +24,3 @@ def n_words(text: Column) -> Column:
 def without(text: Column, chars: str) -> Column:
     """text without the given characters."""
     return F.translate(text, chars, "")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
-def keep_names(df: DataFrame, wanted: list[str]) -> list[str]:
-    """The columns of df besides those wanted, which an operator carries through."""
-    return [c for c in df.columns if c not in wanted]

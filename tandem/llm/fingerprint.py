@@ -7,7 +7,8 @@ classes of mixed window hashes, the smallest in its class: its likeness to anoth
 similarity of the two window sets (one-permutation hashing: slots empty on both sides don't count).
 
 Edge cases: a null text is empty; texts shorter than a window count as one window; two empty texts are alike (1), an empty and another are not
-(0). The order "descending doc_id" puts null ids last; rows of one id follow each other by their text. The one document of a table is its own
+(0). The order "descending doc_id" puts null ids last; rows of one id follow each other by a hash of their text, then the
+text, and that hash takes part in the ranges, so an id that many rows share is many partitions. The one document of a table is its own
 next. Every row is returned; further columns don't take part.
 """
 
@@ -175,10 +176,11 @@ def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row per document: RESULT. One range exchange puts the documents in order; only the first and last of each partition meet in a second step."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    # Ranges by id alone: a text never travels in the range bounds that the driver holds.
-    ordered = ordered.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
-    parts = table(ordered.mapInArrow(_walk, DDL), "fingerprints")
+    ordered = ordered.withColumn("tie", F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    # Ranges by id and hash: a text never travels in the range bounds that the driver holds.
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text"))
+    parts = table(ordered.select("doc_id", "text").mapInArrow(_walk, DDL), "fingerprints")
     first = parts.where(F.col("kind") == FIRST).select("part", F.col("text").alias("following"), F.col("fingerprint").alias("other"))
     last = parts.where(F.col("kind") == LAST).select("part", "doc_id", "text", "fingerprint")
     # A row per partition, without texts.
