@@ -558,6 +558,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert stage.columns == docs.columns and near_dedup.deduplicate(docs).columns == docs.columns
 
 
+CLASH = ["_c0", "_d0", "_gone", "_stratum", "clean", "removed", "lines", "size", "key", "kept", "n_words", "a.b"]
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(queries.PIECE_MODEL), reason="needs the vocabulary file")
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """A certified rule, null and repeated ids, nulls in every column, extra columns of clashing names: each stage keeps the columns, and rejects what it should."""
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() + ("##$" if i % 4 == 0 else "") for _ in range(25)), "en", f"s{i % 6}") for i in range(3000)]
+    rows += [(None, " ".join(word() for _ in range(30)), "en", None), (None, " ".join(word() for _ in range(30)), None, "s1"), rows[1], (2, rows[1][1], "en", "s1"), (4000, None, None, None), (4001, " \n", "en", "s1"), (4002, "w " * 19, "en", "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1]) if r[1] else None, *["x"] * len(CLASH)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)).repartition(3)
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(2400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and now.schema == docs.schema, name
+        now.write.parquet(str(tmp_path / f"stage{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        ids = [r.doc_id for r in now.select("doc_id").collect()]
+        if k == 0:  # all bad documents are told by their symbols, and those that weren't labelled too
+            assert {i for i in ids if i is not None} == {i for i in range(3000) if i % 4} and ids.count(None) == 2 and ids.count(1) == 2
+        if k == 2:  # document 2 has, besides its own text, that of document 1: the two are one group, of which all rows of the smallest id stay
+            assert 2 not in ids and ids.count(1) == 2 and ids.count(None) == 2
+    out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    assert out.count() == now.count() and out.where("NOT round_trip").count() == 0
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty if name != "sentencepiece" else empty.select("doc_id", "text"), str(tmp_path))
+        assert empty.count() == 0, name
+
+
 def test_queries_are_registered():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
