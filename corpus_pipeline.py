@@ -1,7 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing to target weights, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the caller writes what it returns as Parquet and reads it
-again for the next. All but the last return the columns of documents."""
+again for the next. All but the last return the columns of documents, in their order, extra ones of any name too.
+
+Edge cases: an empty table stays empty through all stages; documents whose text is null or blank fail the base rules of the first stage and go; a null
+source, lang or n_chars stays null (n_chars is counted anew for each text where the column is there); rows that repeat a doc_id are judged by
+their own texts, except that near dedup takes them as one node, so they stay or go together, and a null doc_id is always kept there; texts
+of any length are taken whole; ties are settled by the smallest doc_id in line and near dedup and taken together in mixing. Without labels no rule
+is certified, and the base rules alone decide."""
 
 from __future__ import annotations
 

@@ -55,7 +55,7 @@ def top1_blocked(a: DataFrame, b: DataFrame) -> DataFrame:
         if not x.num_rows or not y.num_rows:
             return pa.table({"title": pa.array([], x.schema.field("title").type), "a_chunk_id": pa.array([], pa.int64()), "b_chunk_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         order = np.argsort(y.column("chunk_id").to_numpy(), kind="stable")
-        va, vb = (np.array(t.column("embedding").to_pylist(), np.float64) for t in (x, y))
+        va, vb = (t.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1) for t in (x, y))
         sims = va @ vb[order].T
         at = sims.argmax(axis=1)
         return pa.table({"title": x.column("title"), "a_chunk_id": x.column("chunk_id").cast(pa.int64()), "b_chunk_id": pa.array(y.column("chunk_id").to_numpy()[order][at], pa.int64()), "similarity": pa.array(sims[np.arange(len(at)), at])})

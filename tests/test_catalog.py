@@ -28,6 +28,14 @@ def plain(x):
     return f"{x:.5f}" if isinstance(x, float) else str(x)
 
 
+#: Without SQL; test_catalog_whole holds it against brute force.
+NO_SQL = {"q_html_parse"}
+
+
+def test_every_query_has_sql():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == NO_SQL
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, str(DATA))
