@@ -113,6 +113,23 @@ def sublist(cites: DataFrame, sites: list[str], exact: bool = True) -> DataFrame
     return hits.groupBy("title", "site").agg(F.sum("cnt").cast("long").alias("citations"))
 
 
+#: A list of sites has at most so many names.
+MOST_SITES = 10_000
+
+
+def sublist_of(cites: DataFrame, sites: DataFrame, exact: bool = True) -> DataFrame:
+    """sublist for a table of sites (a column site) of at most MOST_SITES names, which become literals of the plan; a longer one is an error."""
+    names = [r.site for r in sites.where("site <> ''").select("site").distinct().orderBy("site").limit(MOST_SITES + 1).collect()]
+    if len(names) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} sites")
+    return sublist(cites, names, exact)
+
+
+def composition_wide(long: DataFrame, labels: list[str] = CLASSES, value: str = "cites") -> DataFrame:
+    """composition's rows as a table: a row per corpus, a column per label."""
+    return long.groupBy("corpus").pivot("label", labels).agg(F.sum(value)).na.fill(0)
+
+
 def handles(urls: DataFrame) -> DataFrame:
     """urls: title, url -> title, site, username, count."""
     return urls.select("title", F.inline(U.social_handles(F.col("url")))).groupBy("title", "site", "username").agg(F.count("*").alias("count"))

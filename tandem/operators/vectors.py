@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import measures as M
 
 
-def chunks(articles: DataFrame, window: int = 250, stride: int = 150) -> DataFrame:
-    """articles: title, source, text -> title, source, chunk_id, text. Other tokenizers: pass their tokens to measures.windows."""
-    tokens = articles.select("title", "source", M.whitespace_tokens(F.col("text")).alias("tokens"))
+def chunks(articles: DataFrame, window: int = 250, stride: int = 150, tokens: Column | None = None) -> DataFrame:
+    """articles: title, source, text -> title, source, chunk_id, text. tokens: another tokenizer's array of tokens, over the columns of articles."""
+    tokens = articles.select("title", "source", (M.whitespace_tokens(F.col("text")) if tokens is None else tokens).alias("tokens"))
     return tokens.select("title", "source", F.posexplode(M.windows(F.col("tokens"), window, stride)).alias("chunk_id", "words")).select("title", "source", "chunk_id", F.array_join("words", " ").alias("text"))
 
 

@@ -3,7 +3,13 @@ written by it first, from the synthetic tables, into the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import tarfile
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tandem.functions import measures as M
@@ -12,9 +18,10 @@ from tandem.operators import citations as C
 from tandem.operators import cohorts as H
 from tandem.operators import reconcile as R
 from tandem.operators import stats as S
-from tandem.plans.catalog import _CITES, _LINES, _PAGES, _URLS, _query, _r, _rounded, _t, _urls, _values, cites, page_refs, pageview_text
+from tandem.operators import vectors as V
+from tandem.plans.catalog import _CITES, _LINES, _PAGES, _STATUS_SHIFT, _TOPICS, _URLS, _articles, _composition_sql, _query, _r, _rounded, _t, _urls, _values, cites, page_refs, pageview_text, statuses
 from tandem.sources import fetch, readers
-from tandem.session import scratch
+from tandem.session import scratch, written
 
 # -- sources and sinks
 
@@ -166,6 +173,66 @@ def q_files(spark, sf):
     return at.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard")).groupBy("shard").agg(F.count("*").alias("files"))
 
 
+def _files(rows, path: str, name: str, content) -> None:
+    """A file per partition of rows: content makes its bytes of the partition's batches. A retried task writes the same file again."""
+
+    def run(batches):
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        part = list(batches)
+        if part:
+            system.create_dir(base, recursive=True)
+            with system.open_output_stream(f"{base}/{TaskContext.get().partitionId()}{name}", compression=None) as f:
+                f.write(content(part))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in part)], pa.int64())], names=["n"])
+
+    written(rows.mapInArrow(run, "n long"), "files")
+
+
+def _archive(batches: list[pa.RecordBatch]) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, lines in (("a.ndjson", [x for b in batches for x in b.column(0).to_pylist()]), ("b.txt", ["not read"])):
+            data = "\n".join(lines).encode() + b"\n\n"
+            member = tarfile.TarInfo(name)
+            member.size = len(data)
+            tar.addfile(member, io.BytesIO(data))
+    return out.getvalue()
+
+
+@_query("SELECT 'Person ' || c_custkey AS title, c_acctbal AS balance FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+def q_tar_titles(spark, sf):
+    path, title = scratch(spark, "tar"), F.concat(F.lit("Person "), "c_custkey")
+    _files(_t(spark, sf, "customer").repartition(3, "c_custkey").select(F.to_json(F.struct(title.alias("name"), "c_acctbal")).alias("line")), path, ".tar.gz", _archive)
+    wanted = _t(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("Person "), "o_custkey").alias("title"))
+    return readers.extract_titles(spark, path, wanted).select("title", F.get_json_object("value", "$.c_acctbal").cast("double").alias("balance"))
+
+
+def _matrix(batches: list[pa.RecordBatch]) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.concatenate([b.column(0).flatten().to_numpy().reshape(b.num_rows, -1) for b in batches]).astype(np.float32))
+    return out.getvalue()
+
+
+@_query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS emb_ix, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding)::INT AS size FROM embeddings")
+def q_npy(spark, sf):
+    path = scratch(spark, "npy")
+    _files(_t(spark, sf, "embeddings").coalesce(1).sortWithinPartitions("vec_id").select("embedding"), path, ".npy", _matrix)
+    return V.from_npy(spark, path, 300).select("emb_ix", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.size("embedding").alias("size"))
+
+
+@_query("SELECT 'P' || c_custkey AS title, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'C' END AS quality_class, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS quality, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a|b' ELSE 'b|a' END AS topics, c_custkey % 5 = 0 AS failed FROM customer")
+def q_article_metadata(spark, sf):
+    path, k = scratch(spark, "metadata"), F.col("c_custkey")
+    topic = lambda name, score: F.struct(F.lit(name).alias("topic"), score.cast("double").alias("score"))
+    results = F.struct(F.array(topic("a", F.lit(0.5)), topic("b", F.when(k % 4 == 1, 0.25).otherwise(0.75))).alias("results"))
+    rows = _t(spark, sf, "customer").select(
+        F.concat(F.lit("P"), k).alias("title"), F.when(k % 3 != 0, F.struct(F.lit("C").alias("class"), F.col("c_acctbal").alias("quality"))).alias("quality_data"),
+        F.when(k % 4 != 0, F.struct(results.alias("prediction"))).alias("topic_data"), F.when(k % 5 == 0, F.array(F.lit("timeout"))).alias("errors"),
+    )
+    rows.write.json(path)
+    return readers.article_metadata(spark, path).withColumn("topics", F.array_join("topics", "|"))
+
+
 def _fake(key: str) -> tuple[int, str | None]:
     """Every third key exists, every third is unknown, every third raises."""
     n = int(key[1:]) % 3
@@ -285,3 +352,34 @@ def q_b_part(spark, sf):
     totals = C.domain_totals(cites(spark, sf))
     return totals.select("domain", _r(M.proportion(F.col("b_count"), F.col("a_count") + F.col("b_count")), "b_part"))
 
+
+@_query(f"WITH {_CITES}, s AS (SELECT DISTINCT replace(p_brand, 'Brand', '') AS site FROM part WHERE p_size > 48) SELECT title, site, sum(cnt)::BIGINT AS citations FROM cites JOIN s ON contains(domain, site) GROUP BY ALL")
+def q_sublist_table(spark, sf):
+    sites = _t(spark, sf, "part").where("p_size > 48").select(F.replace("p_brand", F.lit("Brand"), F.lit("")).alias("site"))
+    return C.sublist_of(cites(spark, sf), sites, exact=False)
+
+
+@_query(f"WITH {_STATUS_SHIFT}, long AS ({_composition_sql(C.CLASSES)}) SELECT corpus, " + ", ".join(f"sum(cites) FILTER (label = '{x}')::BIGINT AS {x}" for x in C.CLASSES) + " FROM long GROUP BY corpus")
+def q_composition_wide(spark, sf):
+    return C.composition_wide(C.composition(C.status_shift(cites(spark, sf), statuses(spark, sf))))
+
+
+def _region_sql(group: str, part: int) -> str:
+    rows = f"SELECT DISTINCT title, nullif(split_part(topic, '.', {part}), '') AS {group} FROM topics WHERE contains(topic, 'Region')"
+    return f"WITH {_STATUS_SHIFT.replace('shift AS', 'base AS')}, {_TOPICS}, shift AS (SELECT base.*, {group} FROM base JOIN ({rows}) USING (title) WHERE {group} IS NOT NULL) {_composition_sql(C.CLASSES, group)}"
+
+
+@_query(_region_sql("continent", 3))
+def q_continent_composition(spark, sf):
+    return _rounded(C.composition(H.by_topic(C.status_shift(cites(spark, sf), statuses(spark, sf)), H.topics(_articles(spark, sf)), "continent"), by=["continent"]))
+
+
+@_query(_region_sql("subcontinent", 4))
+def q_subcontinent_composition(spark, sf):
+    return _rounded(C.composition(H.by_topic(C.status_shift(cites(spark, sf), statuses(spark, sf)), H.topics(_articles(spark, sf)), "subcontinent"), by=["subcontinent"]))
+
+
+@_query("WITH t AS (SELECT doc_id::VARCHAR AS title, 'x' AS source, string_split(text, chr(10)) AS w FROM documents), n AS (SELECT *, len(w) AS n FROM t), k AS (SELECT *, unnest(range(least(greatest(ceil((n - 3) / 2.0), 0) + 1, ceil(n / 2.0))::BIGINT)) AS chunk_id FROM n) SELECT title, source, chunk_id::INT AS chunk_id, array_to_string(w[chunk_id * 2 + 1 : chunk_id * 2 + 3], ' ') AS text FROM k")
+def q_chunks_of_lines(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("title"), F.lit("x").alias("source"), "text")
+    return V.chunks(docs, 3, 2, F.split("text", "\n"))

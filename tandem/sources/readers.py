@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tandem.functions import measures as M
 from tandem.functions import urls as U
 from tandem.operators import structure as T
-from tandem.sources.schemas import ARTICLES_A, ARTICLES_B, FIXED_ISSUES
+from tandem.sources.schemas import ARTICLES_A, ARTICLES_B, FIXED_ISSUES, METADATA
 
 
 #: Patterns of the wikitext tables.
@@ -124,6 +124,14 @@ def fixed_issues(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("slug", "issue.*", "fixedIssuesCount", "fetched_at")
 
 
+def article_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """title, quality_class, quality, topics (names by falling score), failed (an error was recorded); what a line lacks is null."""
+    rows = ndjson(spark, path, METADATA)
+    ranked = F.sort_array(F.transform("topic_data.prediction.results", lambda t: F.struct((-t["score"]).alias("minus"), t["topic"].alias("topic"))))
+    topics = F.coalesce(F.transform(ranked, lambda t: t["topic"]), F.array().cast("array<string>"))
+    return rows.select("title", F.col("quality_data.class").alias("quality_class"), F.col("quality_data.quality").alias("quality"), topics.alias("topics"), (F.coalesce(F.size("errors"), F.lit(0)) > 0).alias("failed"))
+
+
 def files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """path, size, modified of the files under a path of any store, by name's end; contents aren't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
