@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from tandem.llm.pieces import Memo
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1200, 3000, 10_000
-BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 8, 5, 200.0
+BUCKETS, DIMENSIONS, RATE = 1 << 17, 8, 200.0
+#: A small sample is gone through more often: about so many steps, within so many epochs.
+STEPS, LEAST_EPOCHS, MOST_EPOCHS = 50_000, 5, 40
 DISCOUNT = 0.02
 GRAMS = (3, 4, 5)
 WORD = re.compile(r"[^\W\d_]+")
@@ -84,7 +86,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) ->
     softmax = rng.normal(0, 1, DIMENSIONS).astype(np.float32)
     softmax /= np.linalg.norm(softmax)
     bias, seen, seen_softmax, seen_bias = -1.0, np.full(BUCKETS, 1e-6, np.float32), 1.0, 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(min(MOST_EPOCHS, max(LEAST_EPOCHS, -(-STEPS // len(examples))))):
         for k in rng.permutation(len(examples)):
             label, buckets, weights = examples[k]
             weights = weights * discount[buckets]
