@@ -10,14 +10,12 @@ r"""Near-duplicate detection with SetSketch registers.
 4. In each bucket the smallest doc_id is linked with the others: candidates in proportion to the rows. The similarity of a candidate pair is estimated
    from its registers by maximum likelihood (the set sizes are known), pairs far below the threshold go, and each document's best pair is
    verified on the full shingle sets. Connected components of the verified links follow.
-5. Then rounds over the buckets that still hold several components. In each, the members of a bucket are put in the order of DEPTH further
-   registers, from a place that changes with the bucket and the round, so texts of the longest common run of registers stand side by side. Each
-   member is compared with the NEAR members before it that belong to other components and whose sizes can reach the threshold, in a pass over
-   sorted partitions. The likeliest partners of a document, one in each of the TRIES likeliest other components, are verified on the full sets,
-   the links contract the components, and pairs that were verified aren't tried again. This goes on until ROUNDS_WITHOUT rounds in a row have
-   added no link. A round's comparisons and candidates grow in proportion to the members, however large a bucket is. What can be missed is a link
-   between components of a bucket of more than NEAR + 1 members whose ends never come within NEAR places of each other, or one behind many
-   likelier pairs that aren't links; a test measures the recall of links of 0.75 to 0.80 hidden among hundreds of unlinked near copies.
+5. Buckets that still hold several components are settled exactly: every pair of members of different components is compared on the full shingle
+   sets, whatever its estimate. A bucket of more than MEMBERS members or SHINGLES shingles is dealt into blocks, its largest component into blocks of
+   its own, and each two blocks of which a pair is still open meet in one task; it counts the common shingles of all its pairs at once and returns a
+   tree of the components that links join, never pairs. An eighth of the buckets goes first, so the others find fewer components. The work in a bucket
+   grows with its members times those outside its largest component, the rows dealt with a MEMBERS-th of that; nothing in a bucket is left out. What
+   can be missed is a link whose ends share no bucket (see 3).
 
 Every exchange is an aggregation combined before it or a plain equi-join that Spark splits where it is skewed; components are found by rounds of
 large-star and small-star joins on written tables; nothing but a count and a checksum per round comes to the driver.
@@ -47,10 +45,10 @@ THRESHOLD = 75  # percent
 ROWS, BANDS = 6, 44
 #: The first ROWS * BANDS registers make the bands; estimates use all.
 REGISTERS = 512
-#: A round compares a member with so many neighbours in its bucket, in the order of so many registers.
-NEAR, DEPTH = 64, 20
-#: A round verifies so many pairs for a document, and the rounds end when so many in a row have added no link.
-TRIES, ROUNDS_WITHOUT = 4, 2
+#: A block of a bucket has about so many members and shingles at most.
+MEMBERS, SHINGLES = 400, 400_000
+#: Shingles of up to so many texts of a task are counted pair by pair, others by matrix products of so many columns.
+FEW, COLUMNS = 16, 4096
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Estimates below this go: four standard deviations of the estimate under the threshold.
 LEAST = THRESHOLD / 100 - 4 * math.sqrt(0.75 * 0.25 / REGISTERS)
@@ -205,66 +203,100 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select(*names, "ta", "tb").mapInArrow(run, pairs.schema)
 
 
-def neighbours(members: DataFrame, turn: int) -> DataFrame:
-    """members: key (bucket), doc_id, n (its set's size), c (its component), registers, past (its picks of earlier rounds). The round's candidates
-    doc_id, other (a component), p (likeness, partner): for each member the likeliest partner in each of its TRIES likeliest other components, of its
-    neighbours in the bucket that weren't picked before and whose estimated similarity is not far below the threshold."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs i < j of sets, as the upper triangle of a matrix."""
+    n, sizes = len(sets), [len(x) for x in sets]
+    element, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(element, kind="stable")  # so the owners of an element ascend
+    element, owner = element[order], owner[order]
+    column = np.cumsum(np.concatenate([np.zeros(1, np.int64), (element[1:] != element[:-1]).astype(np.int64)]))[: len(element)]
+    owners = np.bincount(column)[column]
+    few = (owners > 1) & (owners <= FEW)
+    c, o = column[few], owner[few]
+    both = np.zeros(n * n, np.int64)
+    for d in range(1, FEW):
+        same = c[d:] == c[:-d]
+        if not same.any():
+            break
+        both += np.bincount(o[:-d][same] * n + o[d:][same], minlength=n * n)
+    both = both.reshape(n, n)
+    many = owners > FEW
+    c, o = np.unique(column[many], return_inverse=True)[1], owner[many]
+    cuts = np.searchsorted(c, np.arange(0, (c[-1] if len(c) else -1) + COLUMNS + 1, COLUMNS))
+    for k, (start, end) in enumerate(zip(cuts[:-1], cuts[1:])):
+        x = np.zeros((n, COLUMNS), np.float32)  # counts of up to COLUMNS are exact
+        x[o[start:end], c[start:end] - k * COLUMNS] = 1
+        both += (x @ x.T).astype(np.int64)
+    return np.triu(both, 1)
+
+
+def joined(sets: list[np.ndarray], of: list[int]) -> list[tuple[int, int]]:
+    """Pairs (smallest, other) of the components of the sets that links between the sets join: a tree of each group of components."""
+    names, c = np.unique(np.array(of, np.int64), return_inverse=True)
+    if len(names) < 2:
+        return []
+    both, n = overlaps(sets), np.array([len(x) for x in sets])
+    i, j = np.nonzero((both > 0) & (100 * both >= THRESHOLD * (n[:, None] + n[None, :] - both)))
+    near = np.zeros((len(names), len(names)), bool)
+    near[c[i], c[j]] = near[c[j], c[i]] = True
+    out, left = [], np.ones(len(names), bool)
+    for first in np.flatnonzero(near.any(axis=1)):
+        reached = np.array([first]) if left[first] else np.zeros(0, np.int64)
+        left[reached] = False
+        while len(reached):
+            reached = np.flatnonzero(near[reached].any(axis=0) & left)
+            left[reached] = False
+            out += [(int(names[first]), int(names[k])) for k in reached]
+    return out
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """members (key, doc_id, n, c) of buckets that hold several components; of buckets of the same documents, one."""
+    hashed = F.xxhash64("doc_id")
+    marks = [F.count("*").alias("m"), F.sum(F.hash("doc_id").cast("long")).alias("x"), F.sum(F.shiftright(hashed, 32)).alias("y"), F.bit_xor(hashed).alias("z")]
+    keys = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *marks).where("low < high").groupBy("m", "x", "y", "z").agg(F.min("key").alias("key"))
+    return members.join(table(keys.select("key"), "mixed-buckets").hint("merge"), "key").groupBy("key", "doc_id", "c").agg(F.sum("n").alias("n"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """members (key, doc_id, n, c) of mixed buckets dealt to tasks (key, x, y): key, x, y, doc_id, c. Any two members of different components in a bucket meet in a task."""
+    parts = members.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = parts.groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "c")).alias("top"))
+    blocks = lambda m, n: F.ceil(F.greatest(m / MEMBERS, n / SHINGLES)).cast("int")
+    large = (F.col("m") > MEMBERS) | (F.col("n") > SHINGLES)
+    sizes = sizes.select(
+        "key",
+        F.when(large, F.col("top.c")).alias("main"),
+        F.when(large, blocks(F.col("top.m"), F.col("top.n"))).otherwise(0).alias("own"),
+        F.when(large, blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n"))).otherwise(1).alias("rest"),
+    )
+    rows = members.select("key", "doc_id", "c").join(table(sizes, "bucket-sizes").hint("merge"), "key")
+    rows = rows.withColumn("main", F.coalesce(F.col("c") == F.col("main"), F.lit(False))).withColumn("h", F.xxhash64("doc_id"))
+    # Blocks 0 .. rest - 1 hold the smaller components, those after them the largest one, whose blocks needn't meet each other.
+    rows = rows.withColumn("x", F.expr("cast(if(main, rest + pmod(h, greatest(own, 1)), pmod(h, rest)) as int)"))
+    rows = rows.withColumn("y", F.explode(F.expr("if(main, sequence(0, rest - 1), if(own + rest = 1, array(0), array_remove(sequence(0, own + rest - 1), x)))")))
+    return rows.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "doc_id", "c")
+
+
+def links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: components that links between the members of a task of dealt join, as trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, REGISTERS), np.uint16)], np.zeros(0, _U)
-        pick = lambda doc, partner: _mix(_mix(doc.astype(_U)) + partner.astype(_U))
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        now, sets, of = None, [], []
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                registers = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                old = len(held[0])
-                past = part.column(5)
-                owner = np.repeat(part.column(1).to_numpy(), np.diff(past.offsets.to_numpy()))
-                past = pick(owner, past.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                key, ids, n, c, r = (np.concatenate([x, y]) for x, y in zip(held, [*(part.column(k).to_numpy() for k in range(4)), registers]))
-                found = []
-                for d in range(1, min(NEAR, len(key) - 1) + 1):
-                    i = np.arange(max(old, d), len(key))
-                    i = i[key[i] == key[i - d]]
-                    if not len(i):
-                        break
-                    j = i - d
-                    i = i[(c[i] != c[j]) & (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]))]
-                    i = i[(r[i] == r[i - d]).sum(axis=1) >= (LEAST - 0.02) * REGISTERS]
-                    if len(i):
-                        likeness = estimate(r[i], r[i - d], n[i].astype(np.float64), n[i - d].astype(np.float64))
-                        found.append((i, i - d, likeness))
-                i, j, likeness = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                i, j, likeness = (x[likeness >= LEAST] for x in (i, j, likeness))
-                i, j, likeness = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([likeness, likeness])
-                new = ~np.isin(pick(ids[i], ids[j]), np.concatenate([before, past]))
-                i, j, likeness = i[new], j[new], likeness[new]
-                for most in (1, TRIES):  # the likeliest of each other component, then the likeliest of these
-                    keys = [i, c[j]] if most == 1 else [i]
-                    order = np.lexsort((ids[j], -likeness, *reversed(keys)))
-                    i, j, likeness, keys = i[order], j[order], likeness[order], [k[order] for k in keys]
-                    start = np.ones(len(i), bool)
-                    start[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(i) else False
-                    at = np.arange(len(i))
-                    best = at - np.maximum.accumulate(np.where(start, at, 0)) < most
-                    i, j, likeness = i[best], j[best], likeness[best]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], c[i], c[j], likeness, ids[j])], names=["doc_id", "c", "other", "likeness", "partner"])
-                before = past
-                held = [x[-NEAR:] for x in (key, ids, n, c, r)]
-
-    # Registers beyond those of the bands, as texts of a bucket share some of these already.
-    place = 1 + 2 * (BANDS * ROWS + F.pmod(F.col("key") + turn * 7919, F.lit(REGISTERS - BANDS * ROWS - DEPTH)))
-    rows = members.select("key", "doc_id", "n", "c", "registers", "past", F.col("registers").substr(place.cast("int"), F.lit(2 * DEPTH)).alias("order"))
-    # By ranges of bucket and order, so a bucket of many members is many partitions.
-    rows = rows.repartitionByRange("key", "order", "doc_id").sortWithinPartitions("key", "order", "doc_id")
-    return rows.drop("order").mapInArrow(run, "doc_id long, c long, other long, likeness double, partner long")
-
-
-def candidates(members: DataFrame, turn: int) -> DataFrame:
-    """The picks of a round: doc_id, c, other (the partner's component), partner: of each document the likeliest partner in each of its TRIES likeliest other components."""
-    best = neighbours(members, turn).groupBy("doc_id", "other").agg(F.max(F.struct("likeness", "partner", "c")).alias("p"))
-    # A document has TRIES picks in each of its BANDS buckets, so its list is bounded.
-    best = best.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("p.likeness", "p.partner", "p.c", "other")), asc=False), 1, TRIES).alias("p"))
-    return table(best.select("doc_id", F.inline("p")).select("doc_id", "c", "other", "partner"), "picks")
+            out = []
+            for *task, c, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if task != now:
+                    out += joined(sets, of)
+                    now, sets, of = task, [], []
+                sets.append(shingles(text.as_py())[0])
+                of.append(c)
+            yield batch_of(out)
+        yield batch_of(joined(sets, of))
+
+    rows = dealt.join(texts, "doc_id").select("key", "x", "y", "c", "text")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,30 +321,17 @@ def components(edges: DataFrame) -> DataFrame:
     return table(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
 
 
-def contract(members: DataFrame, tried: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, component of the components c of members (as for neighbours) that links join. tried: pairs (a, b) that were verified."""
-    edges, merged, picks, turn, without = None, None, None, 0, 0
-    while without < ROUNDS_WITHOUT:
-        now = members.withColumn("past", F.array().cast("array<bigint>"))
-        if merged is not None:
-            now = now.join(merged, F.col("c") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "c").alias("c"), "registers", "past")
-        if picks is not None:
-            lists = picks.groupBy("doc_id").agg(F.collect_list("partner").alias("picked"))  # TRIES a round
-            now = now.join(lists, "doc_id", "left").select("key", "doc_id", "n", "c", "registers", F.coalesce("picked", "past").alias("past"))
-        found = candidates(now, turn)
-        picks = found if picks is None else picks.unionByName(found)
-        pairs = found.select(F.least("doc_id", "partner").alias("a"), F.greatest("doc_id", "partner").alias("b"), F.least("c", "other").alias("ca"), F.greatest("c", "other").alias("cb"))
-        pairs = pairs.groupBy("a", "b").agg(F.max("ca").alias("ca"), F.max("cb").alias("cb")).join(tried.hint("shuffle_hash"), ["a", "b"], "left_anti")
-        pairs = table(pairs, "round-pairs")
-        tried = tried.unionByName(pairs.select("a", "b"))
-        links = table(_verified(pairs, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "round-links")
-        turn += 1
-        if links.isEmpty():
-            without += 1
-            continue
-        without, edges = 0, links if edges is None else edges.unionByName(links)
-        merged = components(edges)
-    return merged if merged is not None else tried.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+def contract(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, component of the components c of members (key, doc_id, n, c) that links in their buckets join."""
+    members = table(mixed(members), "mixed-members")
+    ids = members.select("doc_id").distinct()
+    texts = table(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").distinct(), "mixed-texts")
+    first = F.pmod(F.col("key"), F.lit(8)) == 0
+    edges = table(links(candidates(members.where(first)), texts).distinct(), "first-links")
+    merged = components(edges)
+    now = members.where(~first).join(merged, F.col("c") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "c").alias("c"))
+    now = table(mixed(table(now, "merged-members")), "open-members")
+    return components(edges.unionByName(table(links(candidates(now), texts).distinct(), "other-links")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -333,9 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = table(likely.select((-F.col("best.minus")).alias("a"), "b"), "best-pairs")
     found = components(table(_verified(pairs, texts), "links"))
     placed = table(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    placed = placed.join(table(mixed, "mixed-buckets").hint("merge"), "key").join(reps.select("doc_id", "registers"), "doc_id")
-    merged = contract(table(placed.select("key", "doc_id", "n", "c", "registers"), "mixed-members"), pairs.select("a", "b"), texts)
+    merged = contract(placed, texts)
     classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("component", "rep").alias("c"))
     classes = table(classes.join(merged, F.col("c") == F.col("node"), "left").select("words", F.coalesce("component", "c").alias("component_id")), "class-components")
     alone = every.select("doc_id", "words", "n_shingles")

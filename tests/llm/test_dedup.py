@@ -237,3 +237,43 @@ def test_candidates_grow_with_the_group(spark, monkeypatch):
         assert got.where("kept").count() > 0.9 * n
     print("pairs:", counts)
     assert 0 < counts[0] and counts[1] <= 2.2 * counts[0]
+
+
+def test_links_behind_likelier_pairs(spark):
+    """Links of about 0.76 in a group of hundreds of texts that fall just short of one, many of which a sketch takes for likelier."""
+    rng = random.Random(23)
+    rows = [" ".join(x) for x in texts_at(rng, 0.715, 400)]
+    for words in texts_at(rng, 0.715, 40):
+        twin = list(words)
+        for at in range(20, 300, 40):
+            twin[at] = f"t{rng.randrange(10**9)}"
+        rows += [" ".join(words), " ".join(twin)]
+    rng.shuffle(rows)
+    sets = [shingle_set(t) for t in rows]
+    assert sum(100 * len(a & b) >= 75 * len(a | b) for k, a in enumerate(sets) for b in sets[:k]) >= 40
+    check_near(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))
+
+
+def test_every_open_pair_of_a_bucket_meets(spark, monkeypatch):
+    """Blocks of a few members: any two members of different components meet in a task, whatever the bucket's size."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", 7)
+    rng = random.Random(29)
+    rows = [(key, key * 1000 + k, 100, 0 if rng.random() < share else k + 1) for key, (n, share) in enumerate([(2, 0), (7, 0.5), (8, 0.5), (60, 0.8), (60, 0), (90, 0.4)]) for k in range(n)]
+    tasks = {}
+    for r in near_dedup.candidates(spark.createDataFrame(rows, "key long, doc_id long, n long, c long")).collect():
+        tasks.setdefault((r.key, r.x, r.y), set()).add(r.doc_id)
+    assert max(map(len, tasks.values())) <= 40
+    for key, a, _, ca in rows:
+        for other, b, _, cb in rows:
+            assert key != other or ca == cb or any(t[0] == key and a in ids and b in ids for t, ids in tasks.items())
+
+
+def test_overlaps_are_exact():
+    rng = np.random.default_rng(31)
+    sets = [np.unique(rng.choice(rng.integers(0, 2**63, 9000).astype(np.uint64), size=n)) for n in (1, 0, 40)]
+    common = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    sets += [np.unique(common[rng.random(9000) < share]) for share in [0.9] * 25 + [0.02] * 15]
+    got = near_dedup.overlaps(sets)
+    assert all(got[i, j] == (len(np.intersect1d(sets[i], sets[j])) if i < j else 0) for i in range(len(sets)) for j in range(len(sets)))
+    assert not near_dedup.overlaps([np.zeros(0, np.uint64)] * 2).any()
+    assert near_dedup.joined(sets[3:] + [sets[3]], [*range(40), 50]) and near_dedup.joined(sets[:3], [1, 1, 1]) == []
