@@ -9,22 +9,20 @@ similarity of the two window sets (one-permutation hashing: slots empty on both
 Edge cases: a null text is empty; texts shorter than a window count as one window; two empty texts are alike (1), an empty and another are not
 (0). The order "descending doc_id" puts null ids last; rows of one id follow each other by a hash of their text, then the
 text, and that hash takes part in the ranges, so an id that many rows share is many partitions. The one document of a table is its own
-next. Every row is returned; further columns don't take part.
+next. Every row is returned; further columns don't take part. Documents that change between the reads raise an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import table
-
 P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 1_779_033_703)
 WINDOW, SLOTS = 12, 64
@@ -124,67 +122,90 @@ def likeness(a: str, b: str) -> float:
 
 
 FIELDS = [
-    ("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kept_prefix", pa.int64()), ("text", pa.string()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kept_prefix", pa.int64()),
 ]
-DDL = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix long, text string"
-RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kept_prefix"]
-FINAL, FIRST, LAST = 0, 1, 2
+DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix long"
+#: Keys that are sampled for each range, and rows that a range has at least on average.
+SAMPLED, ROWS = 64, 200
 
 
-def _pair(part: int, doc_id: int | None, text: str, hashed: PrefixHash, own: str, following: str, other: str) -> tuple:
+def _pair(doc_id: int | None, text: str, hashed: PrefixHash, own: str, following: str, other: str) -> tuple:
     """The finished row of a document, given the next one's text and fingerprint."""
     cut = len(text) // 3
     edited = text[: len(text) - cut] + following[:cut]
     again = PrefixHash(edited)
     new = fingerprint(again)
-    return (FINAL, part, doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, new, likeness(own, new), likeness(own, other), hashed.extension(0, again, 0), None)
+    return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, new, likeness(own, new), likeness(own, other), hashed.extension(0, again, 0))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(FIELDS)], names=[n for n, _ in FIELDS])
 
 
+def _closed(held: tuple | None) -> None:
+    if held is not None:
+        raise ValueError("a range has no border: the documents changed while they were read")
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over a partition in its order: each document is finished when its next comes; the first and the last text go out for the neighbours."""
-    part, held, rows, size = TaskContext.get().partitionId(), None, [], 0
+    """Over rows (part, border, doc_id, text) in their order: each document is finished when its next comes, the last of a range when its border comes."""
+    now, held, rows = None, None, []
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part, border, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now:
+                _closed(held)
+                now = part
+            elif held is None:  # rows of the same key as the border
+                continue
             hashed = PrefixHash(text)
             own = fingerprint(hashed)
-            if held is None:
-                rows.append((FIRST, part, doc_id, len(text), None, own, None, None, None, None, text))
-            else:
-                rows.append(_pair(part, *held, text, own))
-            held = (doc_id, text, hashed, own)
-            size += 1
-            if size % 500 == 0:
+            if held is not None:
+                rows.append(_pair(*held, text, own))
+            held = None if border else (doc_id, text, hashed, own)
+            if len(rows) == 500:
                 yield _batch(rows)
                 rows = []
-    if held is not None:
-        rows.append((LAST, part, held[0], len(held[1]), None, held[3], None, None, None, None, held[1]))
+    _closed(held)
+    if rows:
         yield _batch(rows)
 
 
-def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [_pair(part, doc_id, text, PrefixHash(text), own, following, other) for part, doc_id, text, own, following, other in zip(*(c.to_pylist() for c in batch.columns))]
-        if rows:
-            yield _batch(rows)
+def starts(keys: DataFrame, ranges: int) -> list[tuple]:
+    """The first keys, in order, of at most so many ranges of about equal numbers of rows: the smallest key, and keys of a sample by hash. keys: doc_id, key."""
+    n, top = keys.agg(F.count("*"), F.max("doc_id")).first()  # without the texts
+    if not n:
+        return []
+    ranges = min(ranges, -(-n // ROWS))
+    first = keys.where(F.col("doc_id").isNull() if top is None else F.col("doc_id") == top).agg(F.min("key")).first()[0]
+    thinned = keys.where(F.pmod(F.xxhash64("key.none", "key.down", "key.tie"), F.lit(max(1, n // (SAMPLED * ranges)))) == 0)
+    sample = sorted((tuple(r.key), r.n) for r in thinned.groupBy("key").agg(F.count("*").alias("n")).collect())
+    out, share, seen = [tuple(first)], sum(m for _, m in sample) / ranges, 0
+    for key, m in sample:
+        if seen >= share * len(out) and key > out[-1]:
+            out.append(key)
+        seen += m
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row per document: RESULT. One range exchange puts the documents in order; only the first and last of each partition meet in a second step."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    # Ranges by id and hash: a text never travels in the range bounds that the driver holds.
-    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text"))
-    parts = table(ordered.select("doc_id", "text").mapInArrow(_walk, DDL), "fingerprints")
-    first = parts.where(F.col("kind") == FIRST).select("part", F.col("text").alias("following"), F.col("fingerprint").alias("other"))
-    last = parts.where(F.col("kind") == LAST).select("part", "doc_id", "text", "fingerprint")
-    # A row per partition, without texts.
-    turn = parts.where(F.col("kind") == FIRST).select("part")
-    turn = turn.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part"))).alias("then"))
-    ends = last.join(turn, "part").join(first.withColumnRenamed("part", "then"), "then").select("part", "doc_id", "text", "fingerprint", "following", "other")
-    return parts.where(F.col("kind") == FINAL).select(*RESULT).unionByName(ends.mapInArrow(_join_ends, DDL).select(*RESULT))
+    """A row per document. One exchange puts the documents in order, in at most as many ranges as the session has shuffle partitions. A range starts at a
+    document's key, so that document is known to be the next of the range before, and goes there too, as its border. Nothing is written on the way; docs
+    is read several times, its texts twice."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Null ids last, larger ids first, then a hash of the text: a text never travels in the keys that the driver holds.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("down"), F.xxhash64("text").alias("tie"))
+    rows = rows.select("doc_id", "text", key.alias("key"))
+    first = starts(rows.select("doc_id", "key"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not first:
+        return spark.createDataFrame([], DDL)
+    n = len(first)
+    known = F.from_json(F.lit(json.dumps([{"none": x, "down": y, "tie": z} for x, y, z in first])), "array<struct<none:boolean,down:bigint,tie:bigint>>")
+    # Binary search: the last range that starts at the key or before it.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((n - 1).bit_length()))] or [F.lit(0)])
+    rows = rows.withColumn("part", F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step) <= F.col("key"), at + step).otherwise(at)))
+    own, before = (F.struct(part.cast("int").alias("part"), F.lit(border).alias("border")) for part, border in ((F.col("part"), False), ((F.col("part") + (n - 1)) % n, True)))
+    rows = rows.select("text", "key", F.explode(F.when(F.get(known, F.col("part")) == F.col("key"), F.array(own, before)).otherwise(F.array(own))).alias("at"))
+    rows = rows.select("at.part", "at.border", "key", "text").repartitionById(n, "part").sortWithinPartitions("part", "border", "key", "text")
+    return rows.select("part", "border", F.when(~F.col("key.none"), F.bitwise_not("key.down")).alias("doc_id"), "text").mapInArrow(_walk, DDL)

@@ -5,14 +5,16 @@ import io
 import math
 import random
 import re
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tandem.llm import fingerprint, html_text, line_dedup, mixing, near_dedup, quality, queries, warc
-from tandem.llm.common import scratch
+from tandem.llm.common import scratch, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -374,6 +376,32 @@ def test_fingerprints(odd_documents, no_documents, parts):
     assert fingerprint.fingerprints(odd_documents.where("doc_id = 3")).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 60])
+def test_fingerprints_across_ranges(spark, odd_documents, ranges, monkeypatch):
+    """Borders of ranges: an id and a key that many rows share, null ids, the ends of a long. Nothing is written on the way."""
+    rows = [(r.doc_id, r.text) for r in odd_documents.collect() if len(r.text or "") < 2000]
+    rows += [(50, f"text {k % 40} of one id") for k in range(120)] + [(None, f"no id {k}") for k in range(30)] + [(-(2**63), "least"), (2**63 - 1, "most"), (0, "zero"), (-1, "minus")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(fingerprint, "ROWS", 1, raising=False)
+    files = lambda: set(Path(shared_dir(spark).removeprefix("file://")).glob("fingerprints*"))
+    before, partitions = files(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        got = [tuple(r)[:7] for r in fingerprint.fingerprints(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    assert sorted(got, key=key) == sorted(brute_fingerprints(rows), key=key)
+    assert files() == before
+
+
+def test_a_range_without_its_border_raises():
+    batch = lambda *borders: pa.RecordBatch.from_pylist([{"part": 0, "border": b, "doc_id": k, "text": "a text"} for k, b in enumerate(borders)])
+    assert sum(b.num_rows for b in fingerprint._walk(iter([batch(False, False), batch(True, True)]))) == 2
+    with pytest.raises(ValueError):
+        list(fingerprint._walk(iter([batch(False, False)])))
+
+
 def test_likeness():
     f = lambda t: fingerprint.fingerprint(fingerprint.PrefixHash(t))
     rng = random.Random(1)
